@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills the registry."""
 
-from . import community, rows  # noqa: F401
+from . import community, rows, spatial, summaries  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

@@ -28,14 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _off_tie(digits: int) -> float:
+    """A nudge far below the kept digits: averages of short decimals often end on an exact tie,
+    which summation order would otherwise decide."""
+    return float(f"1.3e-{digits + 3}")
+
+
 def rnd(c: Column | str, digits: int = 6) -> Column:
     """Rounded value, never negative zero, so both engines agree on it."""
-    return F.round(_c(c).cast("double"), digits) + F.lit(0.0)
+    return F.round(_c(c).cast("double") + F.lit(_off_tie(digits)), digits) + F.lit(0.0)
 
 
 def r(expr: str, digits: int = 6) -> str:
     """SQL text of :func:`rnd`."""
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0e0)"
+    return f"(round(CAST({expr} AS DOUBLE) + {_off_tie(digits):e}, {digits}) + 0e0)"
 
 
 # ---- the survey tables as views of the given tables ------------------------------------------
