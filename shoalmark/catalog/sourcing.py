@@ -29,7 +29,7 @@ def scan_csv(spark, sf):
 @query("drop_index_col", SUPPLIER_SQL)
 def drop_index_col(spark, sf):
     df, path = _supplier(spark, sf), scratch_path(spark, "indexed_csv")
-    # an export with a leading row-number column that has no header
+    # an export with a leading row-number column, named as the reader names a blank header
     S.write_csv(df.select(F.col("s_suppkey").alias("_c0"), *df.columns), path)
     return S.read_csv_by_header(spark, path, df.schema)
 
