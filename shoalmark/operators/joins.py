@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str = "left") -> DataFrame:
     """Equi-join on differently named keys where missing matches missing; drops the right keys."""
-    cond = reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in keys.items()])
-    out = left.join(right, cond, how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*[right[b] for b in keys.values()])
+    there = right.withColumnsRenamed({b: f"_k_{b}" for b in keys.values()})
+    same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(f"_k_{b}")) for a, b in keys.items()])
+    return left.join(there, same, how).drop(*[f"_k_{b}" for b in keys.values()])
 
 
 def natural_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,12 +35,9 @@ def complete_grid(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     grid = seen.select(cols[0]).distinct()
     for c in cols[1:]:
         grid = replicate(grid, seen.select(c).distinct())
-    keys = [grid[c].eqNullSafe(df[c]) for c in cols]
-    cond = keys[0]
-    for k in keys[1:]:
-        cond = cond & k
-    rest = [df[c] for c in df.columns if c not in cols]
-    return grid.join(df, cond, "left").select(*[grid[c] for c in cols], *rest)
+    there = df.withColumnsRenamed({c: f"_k_{c}" for c in cols})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in cols])
+    return grid.join(there, same, "left").drop(*[f"_k_{c}" for c in cols])
 
 
 def pivot_fill0(df: DataFrame, site_cols: Sequence[str], names: str, values: str,
