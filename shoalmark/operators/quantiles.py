@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 ACCURACY = 10_000
 BINS = 1024
 
@@ -36,25 +38,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     ``df`` is read several times; pass a table, or cut the lineage of a costly plan first.
     """
-    out_keys, alone = list(keys), not keys
-    keys = out_keys or ["_all"]
+    keys = list(keys)
+    # small tables without group columns meet on a count capped at one
+    link = keys or ["_one"]
 
-    def bounded(d: DataFrame) -> DataFrame:
-        # without keys this side is one row per cut or rank; with keys the optimizer decides
-        return F.broadcast(d) if alone else d
+    def linked(d: DataFrame, count: str) -> DataFrame:
+        return d if keys else d.withColumn("_one", F.least(F.col(count), F.lit(1)))
 
-    rows = df.select(*out_keys, *([F.lit(1).alias("_all")] if alone else []),
-                     F.col(value).cast("double").alias("_v"))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
     rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     eps = 2.0 / accuracy
     cuts = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-eps, eps)})
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", cuts, accuracy).alias("_cuts"), F.count("*").alias("n"))
+    # the small tables between the passes are kept, so that every pass reads the rows once
+    sketch = cut_lineage(rows.groupBy(*keys).agg(
+        F.percentile_approx("_v", cuts, accuracy).alias("_cuts"), F.count("*").alias("n")))
 
     # brackets between the cuts, with their exact counts
+    cut_rows = (rows.join(sketch.select(*keys, "_cuts"), keys) if keys
+                else rows.withColumn("_cuts", sketch.select("_cuts").scalar()))
     above = [(F.col("_v") > F.col("_cuts")[i]).cast("int") for i in range(len(cuts))]
-    cut_rows = (rows.join(bounded(sketch.select(*keys, "_cuts")), keys)
-                .withColumn("_b", reduce(lambda a, b: a + b, above)).drop("_cuts"))
+    cut_rows = cut_rows.withColumn("_b", reduce(lambda a, b: a + b, above)).drop("_cuts")
     boxes = _running_before(
         cut_rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"),
                                           F.max("_v").alias("_hi")), keys, "_b", "_c")
@@ -62,35 +65,35 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         F.struct(F.lit(i).alias("_p"), F.lit(side).alias("_side"),
                  end((F.col("n") - 1) * F.lit(float(p))).cast("long").alias("_rank"))
         for i, p in enumerate(probs) for side, end in ((0, F.floor), (1, F.ceil))])
-    wanted = sketch.select(*keys, F.inline(ranks))
-    wanted = _holds_rank(boxes.join(bounded(wanted), keys), "_c")
+    wanted = linked(sketch, "n").select(*link, F.inline(ranks))
+    wanted = cut_lineage(_holds_rank(linked(boxes, "_c").join(wanted, link), "_c"))
 
     # equal-width bins inside the wanted brackets
     box = wanted.select(*keys, "_b", "_lo", "_hi").distinct()
     lo, hi = F.col("_lo"), F.col("_hi")
     step = F.floor((F.col("_v") - lo) / (hi - lo) * bins)
-    binned = (cut_rows.join(bounded(box), [*keys, "_b"])
+    binned = (cut_rows.join(box, [*keys, "_b"])
               .withColumn("_bin", F.when(hi > lo, F.least(step, F.lit(bins - 1))).otherwise(0))
               .drop("_lo", "_hi"))
     hist = _running_before(binned.groupBy(*keys, "_b", "_bin").agg(F.count("*").alias("_c")),
                            [*keys, "_b"], "_bin", "_c")
-    wanted = _holds_rank(hist.join(bounded(wanted.drop("_lo", "_hi")), [*keys, "_b"]), "_c")
+    wanted = cut_lineage(_holds_rank(hist.join(wanted.drop("_lo", "_hi", "_one"), [*keys, "_b"]), "_c"))
 
     # the few values that are left, in order
     spot = [*keys, "_b", "_bin"]
-    last = binned.join(bounded(wanted.select(*spot).distinct()), spot, "left_semi")
+    last = binned.join(wanted.select(*spot).distinct(), spot, "left_semi")
     last = _running_before(last.groupBy(*spot, "_v").agg(F.count("*").alias("_c")), spot, "_v", "_c")
-    hit = _holds_rank(last.join(bounded(wanted), spot), "_c")
-    ends = hit.groupBy(*keys).agg(*[
+    hit = _holds_rank(last.join(wanted, spot), "_c")
+    ends = hit.groupBy(*keys).agg(F.count("*").alias("_hits"), *[
         F.max(F.when((F.col("_p") == i) & (F.col("_side") == s), F.col("_v"))).alias(f"_q{i}_{s}")
         for i in range(len(probs)) for s in (0, 1)])
-    out = sketch.select(*keys, "n").join(bounded(ends), keys)
+    out = linked(sketch, "n").join(linked(ends, "_hits"), link)
     q = []
     for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(float(p))
         a, b = F.col(f"_q{i}_0"), F.col(f"_q{i}_1")
         q.append(a + (b - a) * (h - F.floor(h)))
-    return out.select(*out_keys, "n", F.array(*q).alias("q"))
+    return out.select(*keys, "n", F.array(*q).alias("q"))
 
 
 def five_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -103,8 +106,7 @@ def five_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     if keys:
         both = rest.join(q, list(keys))
     else:
-        one = F.lit(1)  # both sides are a single row
-        both = rest.withColumn("_1", one).join(F.broadcast(q.withColumn("_1", one)), "_1").drop("_1")
+        both = rest.withColumns({c: q.select(c).scalar() for c in ("q1", "median", "q3")})
     return both.select(*keys, "min", "q1", "median", "mean", "q3", "max")
 
 

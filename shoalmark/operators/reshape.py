@@ -9,20 +9,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 
-MAX_LEVELS = 100_000
+MAX_LEVELS = 10_000
 
 
 def replicate(df: DataFrame, levels: DataFrame, limit: int = MAX_LEVELS) -> DataFrame:
     """Repeat every row of ``df`` once per row of ``levels``.
 
-    ``levels`` is written once and counted. Up to ``limit`` rows it travels as one array value;
-    beyond that both sides are spread over salts and meet in an equi-join.
+    Up to ``limit`` levels travel as one array value that each row explodes; more of them are not
+    fetched: both sides are then spread over salts and meet in an equi-join.
     """
-    levels = cut_lineage(levels)
-    if levels.count() <= limit:
-        packed = levels.agg(F.collect_list(F.struct(*levels.columns)).alias("all")).scalar()
-        return (df.withColumn("_levels", packed)
-                .select(*df.columns, F.inline("_levels")))
+    few = levels.limit(limit + 1).collect()
+    if len(few) <= limit:
+        packed = df.sparkSession.createDataFrame(few, levels.schema).agg(
+            F.collect_list(F.struct(*levels.columns)).alias("all")).scalar()
+        return df.withColumn("_levels", packed).select(*df.columns, F.inline("_levels"))
     salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
     right = levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

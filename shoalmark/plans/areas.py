@@ -12,6 +12,7 @@ from ..operators.community import cwm, tow_totals
 from ..operators.joins import enrich_back
 from ..operators.reshape import complete_grid, pivot_longer
 from ..operators.spatial import add_utm, point_in_polygon
+from ..session import cut_lineage
 
 
 def tow_areas(tows: DataFrame, edges: DataFrame, tow: str, lon: str, lat: str) -> DataFrame:
@@ -58,8 +59,9 @@ def area_model_table(means: DataFrame, temps: DataFrame, landings: DataFrame, ax
     ``means(year, id, season, axes...)``, ``temps(year, id, season, mean_temp, sd_temp)`` and
     ``landings(year, id, landings)``. ``cv_temp`` is mean over sd, as the analysis defines it.
     """
-    wide = means.join(temps, ["year", "id", "season"], "left")
-    full = complete_grid(wide.where("id IS NOT NULL"), ["year", "id", "season"]).join(landings, ["year", "id"], "left")
+    # a small table at the end of two full passes, read again for its levels
+    wide = cut_lineage(means.where("id IS NOT NULL").join(temps, ["year", "id", "season"], "left"))
+    full = complete_grid(wide, ["year", "id", "season"]).join(landings, ["year", "id"], "left")
     full = full.withColumn("cv_temp", ratio("mean_temp", "sd_temp"))
     measures = [*axes, "mean_temp", "sd_temp", "landings", "cv_temp"]
     kept = drop_na_all(full, *measures)
