@@ -157,8 +157,8 @@ def test_utm(spark):
 
 
 def test_center_of_gravity(spark):
-    df = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (1, 10.0, 0.0, 3.0)], "y int, X double, Y double, est double")
-    assert {r.coord: r.est for r in G.center_of_gravity(df, "y", "est").collect()} == {"X": 7.5, "Y": 0.0}
+    df = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (1, 10.0, 0.0, 3.0)], "yr int, X double, Y double, est double")
+    assert {r.coord: r.est for r in G.center_of_gravity(df, "yr", "est").collect()} == {"X": 7.5, "Y": 0.0}
 
 
 def test_grid_near_points_matches_brute_force(spark):

@@ -16,7 +16,7 @@ def _panel(spark, phi=0.6, n_series=60, years=30):
         for t in range(years):
             e = phi * e + RNG.normal() * (np.sqrt(1 - phi**2) if t else 1.0)
             if RNG.random() < 0.8:
-                rows.append((s, area, season, t, float(RNG.normal()), 0.05 * t + (area == "b") * 1.5 + e))
+                rows.append((s, area, season, t, float(RNG.normal()), float(0.05 * t + (area == "b") * 1.5 + e)))
     return rows, spark.createDataFrame(rows, "s int, area string, season string, t int, temp double, y double")
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tools.check import KINDS, TABLES, rows_of
+from tools.plans import NEVER, plan_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +21,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, con, name):
     df = queries()[name](spark, SF)
+    plan = plan_of(df)
+    assert not [n for n in NEVER if n in plan]  # no cross join, no Python in the plan
     got = [tuple(x) for x in df.collect()]
     sql = oracle_sql().get(name)
     if sql is None:
