@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import cut_lineage
 from .linear import DesignColumn, design
 
 MAX_LEVELS = 2_000
@@ -101,8 +102,11 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     equations are solved on the driver.
     """
     fixed = design(terms, levels or {})
-    prods = cross_products(df, response, fixed, random)
-    rows = prods.limit((MAX_LEVELS + len(fixed) + 1) ** 2).collect()
+    prods = cut_lineage(cross_products(df, response, fixed, random))
+    effects = prods.where("i = j").count() - len(fixed) - 1
+    if effects > MAX_LEVELS:
+        raise ValueError(f"{effects} random effects: use the shrinkage estimator for large groupings")
+    rows = prods.collect()
     value = {(x["i"], x["j"]): x["v"] for x in rows}
     value.update({(j, i): v for (i, j), v in list(value.items())})
     names = {i for i, _ in value}
@@ -112,9 +116,6 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
         prefix = f"{t.group}="
         lv = sorted(s[len(prefix):] for s in names if s.startswith(prefix))
         groups.append([[f"{t.group}={x}"] + [f"{t.group}:{s}={x}" for s in t.slopes] for x in lv])
-    q = sum(len(b) for g in groups for b in g)
-    if q > MAX_LEVELS:
-        raise ValueError(f"{q} random effects: use the shrinkage estimator for large groupings")
     order = fx + [c for g in groups for b in g for c in b]
     p, size = len(fx), len(order)
     c0 = np.array([[value.get((a, b), 0.0) for b in order] for a in order])

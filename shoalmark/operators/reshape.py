@@ -26,7 +26,8 @@ def replicate(df: DataFrame, levels: DataFrame, limit: int = MAX_LEVELS) -> Data
     salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
     right = levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, "_salt").drop("_salt")
+    # the size estimate does not see the explode, so a broadcast is ruled out here
+    return left.join(right.hint("merge"), "_salt").drop("_salt")
 
 
 def complete_grid(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -1,9 +1,9 @@
 """Joining positions to areas and working on grids.
 
 Polygons are edge tables (poly_id, ring, seq, x1, y1, x2, y2). For a join they are cut into grid
-cells; each cell carries, per polygon, only the edges a ray to the right from inside that cell can
-meet. A position then needs a single equi-join on its cell and no shuffle of the positions as long
-as the cell table is small enough to be broadcast, which is decided on its written size.
+cells; a cell keeps, per polygon, only the edges a ray to the right from inside that cell can meet.
+A position then needs a single equi-join on its cell, and no shuffle of the positions as long as the
+cell table is small enough to be broadcast, which is decided on its written size.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from ..functions.fixed_values import CELL_KM
 from ..session import written
 
 EDGE = ("x1", "y1", "x2", "y2")
+# Polygons one grid cell may carry as an array.
+MAX_POLYGONS = 1_000
 
 
 def rings_to_edges(rings: DataFrame, ids=("poly_id", "ring"), points: str = "pts") -> DataFrame:
@@ -43,33 +45,54 @@ def _cell(c, size):
 
 
 def polygon_cells(edges: DataFrame, cell: float) -> DataFrame:
-    """(cx, cy, polys): the polygons that can cover points of a cell, with the edges that matter."""
+    """(cx, cy, poly_id, edges): the cells a polygon can cover, each with the edges that matter there.
+
+    Written out, so that later joins know its size.
+    """
     box = edges.groupBy("poly_id").agg(F.min(F.least("x1", "x2")).alias("_left"))
     lo_y, hi_y = F.least("y1", "y2"), F.greatest("y1", "y2")
     rows = (edges.join(box, "poly_id")
             .withColumn("cy", F.explode(F.sequence(_cell(lo_y, cell), _cell(hi_y, cell))))
             .withColumn("cx", F.explode(F.sequence(
                 _cell(F.col("_left"), cell), _cell(F.greatest("x1", "x2"), cell)))))
-    per_poly = rows.groupBy("cx", "cy", "poly_id").agg(
-        F.collect_list(F.struct(*EDGE)).alias("edges"))
-    return per_poly.groupBy("cx", "cy").agg(F.collect_list(F.struct("poly_id", "edges")).alias("polys"))
+    per = rows.groupBy("cx", "cy", "poly_id").agg(F.collect_list(F.struct(*EDGE)).alias("edges"))
+    return written(per, "polygon_cells")
+
+
+def _binned(points: DataFrame, lon: str, lat: str, cell: float) -> DataFrame:
+    return points.withColumns({"_cx": _cell(F.col(lon), cell), "_cy": _cell(F.col(lat), cell)})
+
+
+def _hits(points: DataFrame, cells: DataFrame, lon: str, lat: str, cell: float, name: str) -> DataFrame:
+    """Points with each polygon that contains them, one candidate polygon per joined row."""
+    c = cells.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("poly_id").alias(name),
+                     F.col("edges").alias("_edges"))
+    near = _binned(points, lon, lat, cell).join(c, ["_cx", "_cy"])
+    return near.where(geo.inside(F.col(lon), F.col(lat), F.col("_edges"))).select(*points.columns, name)
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, lon: str, lat: str, cell: float = 1.0,
-                     name: str = "area", how: str = "left", cells: DataFrame | None = None) -> DataFrame:
+                     name: str = "area", how: str = "left", limit: int = MAX_POLYGONS) -> DataFrame:
     """Attach the polygons that contain each point, borders included.
 
     ``left`` keeps points outside every polygon with NULL; a point on a shared border gets one row
-    per polygon.
+    per polygon. While no cell holds more than ``limit`` polygons, each cell carries its polygons as
+    one array and the points need no second join. Crowded cells are not gathered: the different
+    positions are matched polygon by polygon, and the areas joined back to the points.
     """
-    cells = written(polygon_cells(edges, cell), "polygon_cells") if cells is None else cells
+    cells = polygon_cells(edges, cell)
+    if how == "inner":
+        return _hits(points, cells, lon, lat, cell, name)
+    most = cells.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] or 0
+    if most > limit:
+        found = _hits(points.select(lon, lat).distinct(), cells, lon, lat, cell, name)
+        return points.join(found, [lon, lat], "left").select(*points.columns, name)
+    packed = cells.groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(
+        F.collect_list(F.struct("poly_id", "edges")).alias("_polys"))
+    near = _binned(points, lon, lat, cell).join(packed, ["_cx", "_cy"], "left")
     px, py = F.col(lon), F.col(lat)
-    cells = cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy", "polys": "_polys"})
-    near = (points.withColumns({"_cx": _cell(px, cell), "_cy": _cell(py, cell)})
-            .join(cells, ["_cx", "_cy"], "left" if how == "left" else "inner"))
     hits = F.transform(F.filter("_polys", lambda p: geo.inside(px, py, p["edges"])), lambda p: p["poly_id"])
-    explode = F.explode_outer if how == "left" else F.explode
-    return near.select(*points.columns, explode(hits).alias(name))
+    return near.select(*points.columns, F.explode_outer(hits).alias(name))
 
 
 def polygon_overlap(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:
@@ -87,7 +110,7 @@ def polygon_overlap(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:
     def seg(p):
         return {c: F.col(f"{p}_{c}") for c in EDGE}
 
-    meets = (binned(a, "a").join(binned(b, "b"), ["cx", "cy"])
+    meets = (binned(a, "a").join(written(binned(b, "b"), "edge_cells"), ["cx", "cy"])
              .where(geo.segments_meet(seg("a"), seg("b"))).select("a_id", "b_id").distinct())
 
     def nested(outer, inner, inner_name, outer_name):

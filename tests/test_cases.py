@@ -122,12 +122,13 @@ SQUARES = [("A", 0, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
 RINGS = "poly_id string, ring int, pts array<struct<x:double,y:double>>"
 
 
-@pytest.mark.parametrize("cell", [0.3, 1.0, 7.0])
-def test_point_in_polygon(spark, rows, cell):
+@pytest.mark.parametrize("limit", [0, 100])
+@pytest.mark.parametrize("cell", [0.3, 7.0])
+def test_point_in_polygon(spark, rows, cell, limit):
     edges = G.rings_to_edges(spark.createDataFrame(SQUARES, RINGS))
     pts = [(1, 0.5, 0.5), (2, 1.0, 0.5), (3, 3.0, 3.0), (4, 1.0, 1.0), (5, 1.5, 0.0), (6, 0.5, 1.0)]
     p = spark.createDataFrame(pts, "i int, x double, y double")
-    got = rows(G.point_in_polygon(p, edges, "x", "y", cell).select("i", "area"))
+    got = rows(G.point_in_polygon(p, edges, "x", "y", cell, limit=limit).select("i", "area"))
     assert got == [(1, "A"), (2, "A"), (2, "B"), (3, None), (4, "A"), (4, "B"), (5, "B"), (6, "A")]
 
 

@@ -172,3 +172,10 @@ def test_too_many_cells_is_refused(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("f"), F.col("id").cast("double").alias("x"))
     with pytest.raises(ValueError, match="combinations"):
         L.fetch_cells(L.cell_moments(df, ["f"], ["x"]), limit=10)
+
+
+def test_too_many_random_effects_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixed, "MAX_LEVELS", 5)
+    df = spark.range(40).select(F.col("id").alias("g"), (F.col("id") * 1.0).alias("y"))
+    with pytest.raises(ValueError, match="random effects"):
+        mixed.fit_mixed(df, "y", [], (mixed.RandomTerm("g"),))
