@@ -8,7 +8,7 @@ from ..functions import geo
 from ..functions.fixed_values import CELL_AREA
 from ..operators import aggregates as A, spatial as G
 from ..operators.reshape import pivot_values
-from ..session import written
+from ..session import scratch_path
 from .base import TOWS_SQL, TRAITS_SQL, query, r, rnd, table
 from .community import CWM_SQL, tow_cwm
 
@@ -43,8 +43,19 @@ _HOLE = [(f"({_MID[0]} + {dx}e0)", f"({_MID[1]} + {dy}e0)")
 _I, _J = "n_nationkey % 5", "CAST(floor(n_nationkey / 5e0) AS INTEGER)"
 
 
+_LAYERS: dict[tuple[str, str], str] = {}
+
+
 def area_rings(spark, sf):
-    """The rings as stored arrays of points, closed, counted from the south-west corner."""
+    """The stored area layer of a session: closed rings counted from the south-west corner."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _LAYERS:
+        _LAYERS[at] = scratch_path(spark, "area_rings")
+        _build_rings(spark, sf).write.parquet(_LAYERS[at])
+    return spark.read.schema("poly_id int, ring int, pts array<struct<x:double,y:double>>").parquet(_LAYERS[at])
+
+
+def _build_rings(spark, sf):
     n = table(spark, sf, "nation").selectExpr("n_nationkey AS poly_id", f"{_I} AS i", f"{_J} AS j")
     x, y = _corner("(i + if(k IN (1, 2), 1, 0))", "(j + if(k IN (2, 3), 1, 0))")
     side, up = "if(k IN (1, 2), 0.3e0, -0.3e0)", "if(k IN (2, 3), 0.3e0, -0.3e0)"
@@ -54,7 +65,7 @@ def area_rings(spark, sf):
     outer = n.selectExpr("poly_id", "0 AS ring", ring(x, y))
     hole = n.where("poly_id % 4 = 0").selectExpr(
         "poly_id", "1 AS ring", ring(f"({_MID[0]} + {side})", f"({_MID[1]} + {up})"))
-    return written(outer.union(hole), "area_rings")
+    return outer.union(hole)
 
 
 def area_edges(spark, sf):
@@ -80,18 +91,6 @@ def pip_sql(points: str, key: str, edges: str = "edges", x: str = "lon", y: str
         AND {y} BETWEEN least(y1, y2) AND greatest(y1, y2)))"""
 
 
-@query("scan_polygons", f"""WITH {AREAS_SQL} SELECT poly_id, ring, seq, {r('x1')} AS x1, {r('y1')} AS y1, {r('x2')} AS x2, {r('y2')} AS y2
-FROM edges""")
-def scan_polygons(spark, sf):
-    e = area_edges(spark, sf)
-    return e.select("poly_id", "ring", "seq", *[rnd(c).alias(c) for c in G.EDGE])
-
-
-@query("exclude_invalid_feature", f"""WITH {AREAS_SQL} SELECT DISTINCT poly_id, ring FROM edges""")
-def exclude_invalid_feature(spark, sf):
-    return G.valid_polygons(area_rings(spark, sf), [BAD_AREA]).select("poly_id", "ring")
-
-
 @query("points_from_coords", f"""WITH {POS_SQL} SELECT vec_id, {r('lon')} AS lon, {r('lat')} AS lat FROM pos
 WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90""")
 def points_from_coords(spark, sf):
@@ -105,22 +104,43 @@ def point_in_polygon(spark, sf):
     return G.point_in_polygon(positions(spark, sf), area_edges(spark, sf), "lon", "lat").select("vec_id", "area")
 
 
-# Diamonds around every position, to be overlaid on the areas.
+# Diamonds around every position, to be overlaid on the areas. Some rings come without their
+# closing point.
 _D = "(0.1e0 + abs(e2))"
 _DIAMOND = [(f"(lon - {_D})", "lat"), ("lon", f"(lat - {_D})"), (f"(lon + {_D})", "lat"), ("lon", f"(lat + {_D})"), (f"(lon - {_D})", "lat")]
 
 
-def diamond_edges(spark, sf):
-    e2 = table(spark, sf, "embeddings").select(
-        "vec_id", F.get("embedding", F.lit(2)).cast("double").alias("e2"))
-    p = positions(spark, sf).join(e2, "vec_id")
+def diamond_rings(spark, sf):
+    e = table(spark, sf, "embeddings").select(
+        "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in (2, 3)])
+    p = positions(spark, sf).join(e, "vec_id")
     pts = "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in _DIAMOND) + ")"
-    return G.rings_to_edges(p.selectExpr("vec_id AS poly_id", "0 AS ring", f"{pts} AS pts"))
+    rings = p.selectExpr("vec_id AS poly_id", "0 AS ring", f"{pts} AS pts", "e3 < -0.1e0 AS open")
+    return rings.select("poly_id", "ring", F.when(F.col("open"), F.slice("pts", 1, 4)).otherwise(F.col("pts")).alias("pts"))
+
+
+def diamond_edges(spark, sf):
+    return G.rings_to_edges(diamond_rings(spark, sf))
+
+
+DIAMOND_SQL = (f"{POS_SQL}, dia AS (SELECT vec_id, lon, lat, CAST(embedding[3] AS DOUBLE) AS e2, CAST(embedding[4] AS DOUBLE) AS e3 "
+               "FROM pos JOIN embeddings USING (vec_id)), d AS ("
+               + " UNION ALL ".join(
+                   f"SELECT vec_id AS poly_id, {s} AS seq, {a[0]} AS x1, {a[1]} AS y1, {b[0]} AS x2, {b[1]} AS y2 FROM dia"
+                   for s, (a, b) in enumerate(zip(_DIAMOND, _DIAMOND[1:]), 1)) + ")")
+
+
+@query("scan_polygons", f"""WITH {DIAMOND_SQL} SELECT poly_id, CAST(seq AS INTEGER) AS seq, {r('x1')} AS x1, {r('y1')} AS y1, {r('x2')} AS x2, {r('y2')} AS y2 FROM d""")
+def scan_polygons(spark, sf):
+    return diamond_edges(spark, sf).select("poly_id", "seq", *[rnd(c).alias(c) for c in G.EDGE])
+
+
+@query("exclude_invalid_feature", f"WITH {DIAMOND_SQL} SELECT vec_id AS poly_id FROM dia WHERE vec_id <> {BAD_AREA} AND e3 >= -0.1e0")
+def exclude_invalid_feature(spark, sf):
+    return G.valid_polygons(diamond_rings(spark, sf), [BAD_AREA]).select("poly_id")
 
 
-@query("polygon_overlap_join", f"""WITH {AREAS_SQL}, {POS_SQL}, dia AS (SELECT vec_id, lon, lat, CAST(embedding[3] AS DOUBLE) AS e2
-  FROM pos JOIN embeddings USING (vec_id)),
-d AS ({' UNION ALL '.join(f"SELECT vec_id AS poly_id, {s} AS seq, {a[0]} AS x1, {a[1]} AS y1, {b[0]} AS x2, {b[1]} AS y2 FROM dia" for s, (a, b) in enumerate(zip(_DIAMOND, _DIAMOND[1:]), 1))}),
+@query("polygon_overlap_join", f"""WITH {AREAS_SQL}, {DIAMOND_SQL},
 meet AS (SELECT d.poly_id AS a_id, e.poly_id AS b_id FROM d, edges e WHERE
   least(d.x1, d.x2) <= greatest(e.x1, e.x2) AND least(e.x1, e.x2) <= greatest(d.x1, d.x2)
   AND least(d.y1, d.y2) <= greatest(e.y1, e.y2) AND least(e.y1, e.y2) <= greatest(d.y1, d.y2)
@@ -179,13 +199,14 @@ def grid_clip_to_survey(spark, sf):
     return G.grid_near_points(utm_positions(spark, sf)).select("gx", "gy", rnd("X").alias("x"), rnd("Y").alias("y"))
 
 
-@query("bbox_crop", f"""WITH {AREAS_SQL}, {POS_SQL}, b AS (SELECT min(lon) - 1 AS xmin, min(lat) - 2 AS ymin, max(lon) + 1 AS xmax,
-  max(lat) + 0.5e0 AS ymax FROM pos)
-SELECT poly_id, ring, seq FROM edges, b WHERE greatest(x1, x2) >= xmin AND least(x1, x2) <= xmax
+@query("bbox_crop", f"""WITH {DIAMOND_SQL}, b AS (SELECT min(lon) + 1 AS xmin, min(lat) + 2 AS ymin, max(lon) - 1 AS xmax,
+  max(lat) - 0.5e0 AS ymax FROM pos)
+SELECT poly_id, CAST(seq AS INTEGER) AS seq FROM d, b WHERE greatest(x1, x2) >= xmin AND least(x1, x2) <= xmax
   AND greatest(y1, y2) >= ymin AND least(y1, y2) <= ymax""")
 def bbox_crop(spark, sf):
-    ext = A.extent_bbox(positions(spark, sf), "lon", "lat")
-    return G.crop_edges(area_edges(spark, sf), ext).select("poly_id", "ring", "seq")
+    # padded inwards, so that something is cropped
+    ext = A.extent_bbox(positions(spark, sf), "lon", "lat", pad=(1.0, 2.0, -1.0, -0.5))
+    return G.crop_edges(diamond_edges(spark, sf), ext).select("poly_id", "seq")
 
 
 @query("cell_mesh_key", f"""WITH {UTM_SQL} SELECT vec_id, CAST(floor(x / 30) AS BIGINT) AS mx, CAST(floor(y / 30) AS BIGINT) AS my FROM utm""")
