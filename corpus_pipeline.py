@@ -1,32 +1,59 @@
-"""A corpus pipeline of five operators; every stage works on all that its predecessor kept."""
+"""A corpus pipeline of five operators; every stage works on all that its predecessor kept.
+
+1. quality: documents that the classifier rejects go.
+2. lines: later occurrences of repeated three-line windows go, and documents of which nothing is left.
+3. groups: of documents linked by five-word shingles with a Jaccard similarity of 0.8 or more one stays.
+4. leaks: documents that hold a benchmark item go.
+5. packs: what is left is packed into sequences; this stage returns the pieces and their bins.
+
+All stages but the last return the columns of documents; n_chars follows the text where the text changes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoalmark.llm import quality
+from shoalmark.llm import decontamination, jaccard_join, line_dedup, packing, quality
 from shoalmark.llm.common import read
 from shoalmark.session import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    model = quality.fit_quality(docs, read(spark, sf_dir, "labels"), docs["doc_id"].isNotNull() | docs["doc_id"].isNull())
-    kept = docs.columns
-    return quality.score_quality(docs, model).where("predicted = 1").select(*kept)
+    model = quality.fit_quality(docs, read(spark, sf_dir, "labels"), F.lit(True))
+    return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs)
+    changed = F.col("n_removed") > 0
+    out = out.where(~changed | (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) > 0))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def groups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_per_group(docs, width=5, num=8, den=10)
+
+
+def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packs_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
 
 
-STAGES = [("quality", quality_stage)]
+STAGES = [("quality", quality_stage), ("lines", lines_stage), ("groups", groups_stage), ("leaks", leaks_stage),
+          ("packs", packs_stage)]
 
-#: The classifier, the packing and the pigeonhole search have no SQL form; tests compare the stages with brute force.
+#: The classifier, the edit matching and the packing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents; each result is written to the shared folder and read back."""
     docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

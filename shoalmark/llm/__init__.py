@@ -9,5 +9,8 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from . import quality, secret_scans, token_counts, toxicity, url_filters  # noqa: E402, F401
+from . import (  # noqa: E402, F401
+    decontamination, embeddings, jaccard_join, line_dedup, packing, quality, secret_scans, token_counts, toxicity,
+    url_filters,
+)
 from .registry import LLM_ORACLES, LLM_QUERIES  # noqa: E402, F401

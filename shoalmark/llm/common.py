@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
+
+#: A table of ids is broadcast only if it was counted and holds at most this many of them (about 16 MB).
+BROADCAST_IDS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *keep, F.col("_label").alias("label"))
 
 
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Rows whose key is (``left_semi``) or is not (``left_anti``) in a one-column table of ids.
+
+    The ids are written and counted: a short table is broadcast, so texts are not shuffled; beyond that, the
+    same join is left to the optimizer.
+    """
+    ids = written(ids.withColumnRenamed(ids.columns[0], key), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph given as distinct-or-not rows (a, b).
 
