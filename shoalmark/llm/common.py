@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage, written
+from ..session import written
 
 #: A table of ids is broadcast only if it was counted and holds at most this many of them (about 16 MB).
 BROADCAST_IDS = 1_000_000
@@ -53,27 +53,27 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph given as distinct-or-not rows (a, b).
+    """Connected components of an undirected graph given as rows (a, b), repeated or not.
 
-    Returns (id, component): every vertex that has an edge, with the smallest id it can reach. Each round takes
-    the smallest label among a vertex's neighbours and then its label's label, so paths shorten by doubling.
-    All tables stay on the cluster and each round is checkpointed; a hub is one side of an equi-join whose other
-    side has one row per vertex, and its neighbours are reduced by a plain minimum.
+    Returns (id, component): every vertex with an edge to another, and the smallest id it can reach. Vertices of one label
+    move together: each round, a label becomes the smallest label next to any of its vertices, and the label of that
+    label, and so on for two steps, so the number of labels falls by a factor each round, on chains as well. Each
+    round is one written table; nothing is gathered on the driver, and hubs are reduced by plain minima.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                       .where("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("id"))
-                         .agg(F.least(F.min("b"), F.col("id")).alias("component")))
+    pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    both = written(pairs.union(pairs.select("b", "a")).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("id"))
+                     .agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
     for _ in range(max_rounds):
-        near = (both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"))
-                .agg(F.min("component").alias("_near")))
-        hooked = (labels.join(near, "id", "left")
-                  .select("id", F.col("component").alias("_old"),
-                          F.least("component", F.coalesce("_near", "component")).alias("component")))
-        hooked = cut_lineage(hooked)
-        jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("_far"))
-        moved = cut_lineage(hooked.join(jump, "component", "left")
-                            .select("id", "_old", F.least("component", F.coalesce("_far", "component")).alias("component")))
+        near = (both.join(labels.select(F.col("id").alias("b"), "component"), "b")
+                .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_near")))
+        moves = written(labels.join(near, "id").groupBy("component")
+                        .agg(F.least(F.min("_near"), F.col("component")).alias("_to")), "moves")
+        for _ in range(2):
+            onward = moves.select(F.col("component").alias("_to"), F.col("_to").alias("_far"))
+            moves = moves.join(onward, "_to", "left").select("component", F.coalesce("_far", "_to").alias("_to"))
+        moved = written(labels.join(moves, "component")
+                        .select("id", F.col("component").alias("_old"), F.col("_to").alias("component")), "labels")
         labels = moved.select("id", "component")
         if moved.where("_old <> component").isEmpty():
             return labels
