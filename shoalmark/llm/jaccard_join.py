@@ -40,7 +40,7 @@ from .common import by_ids, components, read
 from .registry import query
 from .text import shingles
 
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 _BLOCK = 1024
 GROUP = 64
 QUERIES = 256
