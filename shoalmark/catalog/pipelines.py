@@ -145,12 +145,13 @@ def bottom_temp_by_area(spark, sf):
 
 @query("area_model_table", f"""WITH {AREA_CWM_SQL}, {BT_SQL[len(PLACED_SQL) + 2:]}, {LANDINGS_SQL},
 la AS (SELECT year, id, coalesce(sum(landed), 0) AS landings FROM landed WHERE id < 20 GROUP BY ALL),
-m AS (SELECT est_year AS year, lower(season) AS season, area AS id, trait_size, trait_price FROM area_cwm WHERE NOT (est_year = 1997 AND season = 'Fall') AND area IS NOT NULL),
+m AS (SELECT est_year AS year, lower(season) AS season, area AS id, trait_size, trait_price FROM area_cwm WHERE NOT (est_year = 1997 AND season = 'Fall')),
 g AS (SELECT * FROM (SELECT DISTINCT year FROM m), (SELECT DISTINCT id FROM m), (SELECT DISTINCT season FROM m)),
-w AS (SELECT g.year, g.id, g.season, trait_size, trait_price, CASE WHEN m.id IS NOT NULL THEN mean_temp END AS mean_temp,
-    CASE WHEN m.id IS NOT NULL THEN sd_temp END AS sd_temp, landings
+w AS (SELECT g.year, g.id, g.season, trait_size, trait_price, CASE WHEN m.year IS NOT NULL THEN mean_temp END AS mean_temp,
+    CASE WHEN m.year IS NOT NULL THEN sd_temp END AS sd_temp, landings
   FROM g LEFT JOIN m ON m.year = g.year AND m.id = g.id AND m.season = g.season
-  LEFT JOIN bt ON bt.year = g.year AND bt.area = g.id AND bt.season = g.season LEFT JOIN la ON la.year = g.year AND la.id = g.id),
+  LEFT JOIN bt ON bt.year = g.year AND bt.area = g.id AND bt.season = g.season LEFT JOIN la ON la.year = g.year AND la.id = g.id
+  WHERE g.id IS NOT NULL),
 k AS (SELECT *, mean_temp / nullif(sd_temp, 0) AS cv_temp FROM w WHERE coalesce(trait_size, trait_price, mean_temp, sd_temp, landings) IS NOT NULL)
 SELECT year, id, season, {r('mean_temp')} AS mean_temp, {r('cv_temp')} AS cv_temp, {r('CASE WHEN landings > 0 THEN ln(landings) END')} AS log_landings, 'trait_size' AS pca_axis, {r('trait_size')} AS pca_value FROM k
 UNION ALL SELECT year, id, season, {r('mean_temp')}, {r('cv_temp')}, {r('CASE WHEN landings > 0 THEN ln(landings) END')}, 'trait_price', {r('trait_price')} FROM k""")
@@ -256,14 +257,15 @@ def cog_shift(spark, sf):
 
 
 @query("indicator_series", f"""WITH rows_ AS (SELECT user_id, value, CAST(strftime(ts, '%j') AS DOUBLE) AS time_point, event_id FROM events
-  WHERE event_type = 'purchase' AND user_id < 100),
+  WHERE event_type = 'purchase' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY')),
 f AS (SELECT user_id, row_number() OVER (ORDER BY avg(value), user_id) AS facet FROM rows_ GROUP BY user_id)
 SELECT event_id, user_id AS area, value, time_point, facet FROM rows_ JOIN f USING (user_id)""")
 def indicator_series(spark, sf):
     eav = table(spark, sf, "events").select(
         "event_id", F.concat_ws("_", F.lit("day"), F.date_format("ts", "DDD")).alias("time"),
         F.col("event_type").alias("var"), "value", F.col("user_id").alias("area"))
-    out = indicators.indicator_series(eav, "purchase", list(range(100)))
+    out = indicators.indicator_series(
+        eav, "purchase", table(spark, sf, "customer").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("area")))
     return out.select("event_id", "area", "value", "time_point", "facet")
 
 

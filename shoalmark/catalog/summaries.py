@@ -153,13 +153,13 @@ def extent_bbox(spark, sf):
 
 
 _PROFILE = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
-            ("o_totalprice", "double"), ("o_orderpriority", "string")]
+            ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
 
 
 @query("column_profile", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS n, count(*) - count({c}) AS n_null, "
     f"count(DISTINCT {c}) AS n_distinct, "
-    + (f"NULL AS min_number, NULL AS max_number, min({c}) AS min_text, max({c}) AS max_text" if t == "string" else
+    + (f"NULL AS min_number, NULL AS max_number, CAST(min({c}) AS VARCHAR) AS min_text, CAST(max({c}) AS VARCHAR) AS max_text" if t in ("string", "timestamp_ntz") else
        f"CAST(min({c}) AS DOUBLE) AS min_number, CAST(max({c}) AS DOUBLE) AS max_number, "
        f"CAST(NULL AS VARCHAR) AS min_text, CAST(NULL AS VARCHAR) AS max_text") + " FROM orders"
     for c, t in _PROFILE))

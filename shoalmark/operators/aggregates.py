@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
@@ -40,11 +41,14 @@ def pairwise_correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Equal-width counts between the smallest and largest value, the largest in the last bin."""
-    v = df.select(F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    """Equal-width counts between the smallest and largest value, the largest in the last bin.
+
+    A constant column has all its rows in the first bin; missing values and NaN are not counted.
+    """
+    v = df.select(F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
     box = v.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     b = F.width_bucket("_v", box.select("lo").scalar(), box.select("hi").scalar(), F.lit(bins))
-    return v.groupBy(F.least(b, F.lit(bins)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return v.groupBy(F.least(F.coalesce(b, F.lit(1)), F.lit(bins)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -62,24 +66,24 @@ def extent_bbox(df: DataFrame, lon: str, lat: str, pad=EXTENT_PAD) -> DataFrame:
                   (F.max(lon) + e).alias("xmax"), (F.max(lat) + n).alias("ymax"))
 
 
+NUMBERS = ("double", "float", "integer", "long", "short", "byte")
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: type, rows, missing, different values, range.
 
-    Cells are counted per (column, value) first, so distinct counts need no per-column pass.
+    Rows, missing values and ranges of all columns are one aggregate; only the different values need a shuffle,
+    each column's in its own type from a scan of that column alone.
     """
-    cells = F.array(*[
-        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
-                 F.col(f.name).cast("string").alias("value"),
-                 (F.col(f.name).cast("double") if f.dataType.typeName() in
-                  ("double", "float", "integer", "long", "short", "byte") else
-                  F.lit(None).cast("double")).alias("number"))
-        for f in df.schema])
-    counted = (df.select(F.inline(cells)).groupBy("column", "type", "value", "number")
-               .agg(F.count("*").alias("n")))
-    text = F.when(F.col("number").isNull(), F.col("value"))
-    return counted.groupBy("column", "type").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
-        F.count("value").alias("n_distinct"),
-        F.min("number").alias("min_number"), F.max("number").alias("max_number"),
-        F.min(text).alias("min_text"), F.max(text).alias("max_text"))
+    per = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        number = f.dataType.typeName() in NUMBERS
+        one = df.agg(
+            F.count("*").alias("n"), (F.count("*") - F.count(c)).alias("n_null"),
+            *[(g(c).cast("double") if number else F.lit(None).cast("double")).alias(f"{k}_number") for k, g in (("min", F.min), ("max", F.max))],
+            *[(F.lit(None).cast("string") if number else g(c).cast("string")).alias(f"{k}_text") for k, g in (("min", F.min), ("max", F.max))])
+        different = df.select(c.alias("_v")).distinct().agg(F.count("_v").alias("n_distinct"))
+        per.append(one.select(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), "n", "n_null",
+                              different.scalar().alias("n_distinct"), "min_number", "max_number", "min_text", "max_text"))
+    return reduce(DataFrame.unionByName, per)

@@ -31,7 +31,10 @@ def ar1_moments(df: DataFrame, response: str, numerics: Sequence[str], factors:
 
 def fit_gls_ar1(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]], factors: Sequence[str],
                 series: Sequence[str], time: str, checked: bool = False) -> LinearFit:
-    """REML fit; correlation phi^gap between neighbours of a series. ``extra`` holds phi."""
+    """REML fit; correlation phi^gap between neighbours of a series. ``extra`` holds phi.
+
+    phi lies in the open interval (-1, 1); a negative phi alternates its sign with the gap.
+    """
     cols_n = _roles(df, response, terms, factors)
     numerics = cols_n[:-1]
     rows = fetch_cells(ar1_moments(df, response, numerics, factors, series, time, checked))
@@ -70,12 +73,13 @@ def fit_gls_ar1(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
         rss = yy - xy @ np.linalg.solve(xx, xy)
         return -(n - p) / 2 * np.log(rss / (n - p)) - logdet / 2 - np.linalg.slogdet(xx)[1] / 2
 
-    lo, hi = -0.95, 0.99
-    for _ in range(6):                          # nested grids around the best value
-        grid = np.linspace(lo, hi, 21)
-        best = int(np.argmax([reml(g) for g in grid]))
-        lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, 20)]
-    phi = float(grid[best])
+    # nested grids around the best value of atanh(phi), so the whole open interval is searched
+    lo, hi, points = -9.0, 9.0, 181
+    while hi - lo > 1e-7:
+        grid = np.linspace(lo, hi, points)
+        best = int(np.argmax([reml(np.tanh(g)) for g in grid]))
+        lo, hi, points = grid[max(best - 1, 0)], grid[min(best + 1, points - 1)], 21
+    phi = float(np.tanh(grid[best]))
     xx, xy, yy, logdet = cross(phi)
     beta = np.linalg.solve(xx, xy)
     rss = float(yy - beta @ xy)

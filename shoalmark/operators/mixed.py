@@ -146,6 +146,8 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
         s2, g_mats = new_s2, new_g
         if move < tol * max(s2, 1e-12):
             break
+    else:
+        raise RuntimeError(f"no convergence in {max_iter} rounds: the last step moved a variance by {move:.3g}")
     se = np.sqrt(np.clip(np.diag(inv)[:p] * s2, 0, None))
     return MixedFit(
         {f[len("fixed "):]: (float(b), float(e)) for f, b, e in zip(fx, sol[:p], se)},

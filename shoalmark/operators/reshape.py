@@ -7,27 +7,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
-MAX_LEVELS = 10_000
+# Copies of the levels that the rows are dealt over.
+SALTS = 32
 
 
-def replicate(df: DataFrame, levels: DataFrame, limit: int = MAX_LEVELS) -> DataFrame:
+def replicate(df: DataFrame, levels: DataFrame, salts: int = SALTS) -> DataFrame:
     """Repeat every row of ``df`` once per row of ``levels``.
 
-    Up to ``limit`` levels travel as one array value that each row explodes; more of them are not
-    fetched: both sides are then spread over salts and meet in an equi-join.
+    One equi-join for every size: rows are dealt over salts by their place in the partition, so equal rows
+    spread as well, and every salt has all levels. The salted levels are written, so that whether they are broadcast is
+    decided on their size.
     """
-    few = levels.limit(limit + 1).collect()
-    if len(few) <= limit:
-        packed = df.sparkSession.createDataFrame(few, levels.schema).agg(
-            F.collect_list(F.struct(*levels.columns)).alias("all")).scalar()
-        return df.withColumn("_levels", packed).select(*df.columns, F.inline("_levels"))
-    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    right = levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # the size estimate does not see the explode, so a broadcast is ruled out here
-    return left.join(right.hint("merge"), "_salt").drop("_salt")
+    dealt = written(levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "levels")
+    left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return left.join(dealt, "_salt").drop("_salt")
+
+
+def _declared(names: str, levels: Sequence) -> Column:
+    """The level column; a value outside the declared list is an error instead of vanishing from the wide form."""
+    c = F.col(names)
+    told = F.concat(F.lit(f"{names}: not among the declared levels: "), c.cast("string"))
+    return F.when(c.isNull() | c.isin(list(levels)), c).otherwise(F.raise_error(told)).alias(names)
+
+
+def _checked(df: DataFrame, names: str, levels: Sequence) -> DataFrame:
+    return df.withColumn(names, _declared(names, levels))
 
 
 def complete_grid(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -45,7 +51,7 @@ def pivot_fill0(df: DataFrame, site_cols: Sequence[str], names: str, values: str
                 levels: Sequence) -> DataFrame:
     """Wide matrix in sorted column order; absent cells are 0, recorded missing values stay NULL."""
     levels = sorted(levels)
-    wide = (df.groupBy(*site_cols).pivot(names, levels)
+    wide = (_checked(df, names, levels).groupBy(*site_cols).pivot(names, levels)
             .agg(F.max(values).alias("v"), F.count(F.lit(1)).alias("n")))
     return wide.select(*site_cols, *[
         F.when(F.coalesce(F.col(f"`{x}_n`"), F.lit(0)) == 0, F.lit(0.0))
@@ -55,6 +61,7 @@ def pivot_fill0(df: DataFrame, site_cols: Sequence[str], names: str, values: str
 def pivot_values(df: DataFrame, id_cols: Sequence[str], names: str, values: Sequence[str],
                  levels: Sequence, agg=F.first) -> DataFrame:
     """Wide form of one or several value columns; several give ``value_level`` names."""
+    df = _checked(df, names, levels)
     if len(values) == 1:
         return df.groupBy(*id_cols).pivot(names, list(levels)).agg(agg(values[0]))
     wide = df.groupBy(*id_cols).pivot(names, list(levels)).agg(*[agg(v).alias(v) for v in values])
@@ -66,7 +73,7 @@ def pivot_mean_fill(df: DataFrame, row: str, names: str, value: str, levels: Seq
                     fill: Column | None = None) -> DataFrame:
     """Year x region matrix; absent cells take ``fill`` (default: the mean of all rows)."""
     fill = df.agg(F.avg(value).alias("m")).scalar() if fill is None else fill
-    wide = df.groupBy(row).pivot(names, list(levels)).agg(F.max(value).alias("v"), F.count(F.lit(1)).alias("n"))
+    wide = _checked(df, names, levels).groupBy(row).pivot(names, list(levels)).agg(F.max(value).alias("v"), F.count(F.lit(1)).alias("n"))
     return wide.select(row, *[
         F.when(F.coalesce(F.col(f"`{x}_n`"), F.lit(0)) == 0, fill)
         .otherwise(F.col(f"`{x}_v`")).alias(str(x)) for x in levels])

@@ -15,8 +15,6 @@ from ..functions.fixed_values import CELL_KM
 from ..session import written
 
 EDGE = ("x1", "y1", "x2", "y2")
-# Polygons one grid cell may carry as an array.
-MAX_POLYGONS = 1_000
 
 
 def rings_to_edges(rings: DataFrame, ids=("poly_id", "ring"), points: str = "pts") -> DataFrame:
@@ -63,36 +61,22 @@ def _binned(points: DataFrame, lon: str, lat: str, cell: float) -> DataFrame:
     return points.withColumns({"_cx": _cell(F.col(lon), cell), "_cy": _cell(F.col(lat), cell)})
 
 
-def _hits(points: DataFrame, cells: DataFrame, lon: str, lat: str, cell: float, name: str) -> DataFrame:
-    """Points with each polygon that contains them, one candidate polygon per joined row."""
-    c = cells.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("poly_id").alias(name),
-                     F.col("edges").alias("_edges"))
-    near = _binned(points, lon, lat, cell).join(c, ["_cx", "_cy"])
-    return near.where(geo.inside(F.col(lon), F.col(lat), F.col("_edges"))).select(*points.columns, name)
-
-
 def point_in_polygon(points: DataFrame, edges: DataFrame, lon: str, lat: str, cell: float = 1.0,
-                     name: str = "area", how: str = "left", limit: int = MAX_POLYGONS) -> DataFrame:
+                     name: str = "area", how: str = "left") -> DataFrame:
     """Attach the polygons that contain each point, borders included.
 
     ``left`` keeps points outside every polygon with NULL; a point on a shared border gets one row
-    per polygon. While no cell holds more than ``limit`` polygons, each cell carries its polygons as
-    one array and the points need no second join. Crowded cells are not gathered: the different
-    positions are matched polygon by polygon, and the areas joined back to the points.
+    per polygon. One equi-join on the grid cell, with the geometry in its condition, serves any number
+    of polygons per cell: nothing of a cell is gathered.
     """
     cells = polygon_cells(edges, cell)
-    if how == "inner":
-        return _hits(points, cells, lon, lat, cell, name)
-    most = cells.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] or 0
-    if most > limit:
-        found = _hits(points.select(lon, lat).distinct(), cells, lon, lat, cell, name)
-        return points.join(found, [lon, lat], "left").select(*points.columns, name)
-    packed = cells.groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(
-        F.collect_list(F.struct("poly_id", "edges")).alias("_polys"))
-    near = _binned(points, lon, lat, cell).join(packed, ["_cx", "_cy"], "left")
-    px, py = F.col(lon), F.col(lat)
-    hits = F.transform(F.filter("_polys", lambda p: geo.inside(px, py, p["edges"])), lambda p: p["poly_id"])
-    return near.select(*points.columns, F.explode_outer(hits).alias(name))
+    c = cells.select("cx", "cy", F.col("poly_id").alias(name), F.col("edges").alias("_edges"))
+    near = _binned(points, lon, lat, cell)
+    within = ((F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy"))
+              & geo.inside(F.col(lon), F.col(lat), F.col("_edges")))
+    kept = [x for x in points.columns if x != name]
+    near = near.select(*kept, "_cx", "_cy")
+    return near.join(c, within, how).select(*kept, name)
 
 
 def polygon_overlap(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:

@@ -60,8 +60,9 @@ def area_model_table(means: DataFrame, temps: DataFrame, landings: DataFrame, ax
     ``landings(year, id, landings)``. ``cv_temp`` is mean over sd, as the analysis defines it.
     """
     # a small table at the end of two full passes, read again for its levels
-    wide = cut_lineage(means.where("id IS NOT NULL").join(temps, ["year", "id", "season"], "left"))
-    full = complete_grid(wide, ["year", "id", "season"]).join(landings, ["year", "id"], "left")
+    wide = cut_lineage(means.join(temps, ["year", "id", "season"], "left"))
+    # completed with the rows outside every area, which may be all that a year has; they go afterwards
+    full = complete_grid(wide, ["year", "id", "season"]).join(landings, ["year", "id"], "left").where("id IS NOT NULL")
     full = full.withColumn("cv_temp", ratio("mean_temp", "sd_temp"))
     measures = [*axes, "mean_temp", "sd_temp", "landings", "cv_temp"]
     kept = drop_na_all(full, *measures)

@@ -13,14 +13,14 @@ from ..operators.reshape import pivot_mean_fill, pivot_values
 from ..session import cut_lineage
 
 
-def indicator_series(table: DataFrame, var: str, areas: Sequence[str] = ()) -> DataFrame:
-    """Rows of one indicator with a numeric time and the rank of the area by its mean value.
+def indicator_series(table: DataFrame, var: str, areas: DataFrame | None = None) -> DataFrame:
+    """Rows of one indicator, of the wanted areas, with a numeric time and the rank of the area by its mean value.
 
     ``table(time, var, value, area)``; a time label like ``week_12`` gives 12.
     """
     rows = table.where(F.col("var") == var)
-    if areas:
-        rows = rows.where(F.col("area").isin(list(areas)))
+    if areas is not None:
+        rows = rows.join(areas.select("area"), "area", "left_semi")
     rows = rows.withColumn("time_point", K.word("time", 1, "_").try_cast("double"))
     return rows.join(order_groups_by_mean(rows, "area", "value", "facet").drop("mean_value"), "area")
 

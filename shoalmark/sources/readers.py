@@ -11,18 +11,21 @@ from pyspark.sql.types import StructType
 from ..functions.columns import survey_days
 
 CSV_OPTIONS = dict(header=True, nullValue="NA", quote='"', escape='"')
+# Reading: a line break within quotes is part of the value, and a value that does not fit its type is an error.
+# Whole files are then read by one task each, so large exports should come in several files.
+READ_OPTIONS = dict(CSV_OPTIONS, multiLine=True, mode="FAILFAST")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options) -> DataFrame:
     """Header CSV with a declared schema; the text NA is missing, a BOM is dropped by the reader."""
-    return spark.read.schema(schema).options(**{**CSV_OPTIONS, **options}).csv(path)
+    return spark.read.schema(schema).options(**{**READ_OPTIONS, **options}).csv(path)
 
 
 def read_csv_by_header(spark: SparkSession, path: str, schema: StructType, **options) -> DataFrame:
     """CSV whose columns are matched to ``schema`` by name; unnamed columns are dropped."""
-    text = spark.read.options(**{**CSV_OPTIONS, **options}).csv(path)
+    text = spark.read.options(**{**READ_OPTIONS, **options}).csv(path)
     text = drop_unnamed(text)
-    return text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
+    return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalmark.functions import columns as K, geo, nulls as N
-from shoalmark.operators import community as C, joins as J, ordering as O, quantiles as Q, reshape as R
+from shoalmark.operators import aggregates as A, community as C, joins as J, ordering as O, quantiles as Q, reshape as R
 from shoalmark.operators import series as S, spatial as G, taxonomy as X, trait_sources as T
 
 TRAITS = [(1, 0.5), (2, 0.9), (3, 0.2)]
@@ -122,13 +122,12 @@ SQUARES = [("A", 0, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
 RINGS = "poly_id string, ring int, pts array<struct<x:double,y:double>>"
 
 
-@pytest.mark.parametrize("limit", [0, 100])
 @pytest.mark.parametrize("cell", [0.3, 7.0])
-def test_point_in_polygon(spark, rows, cell, limit):
+def test_point_in_polygon(spark, rows, cell):
     edges = G.rings_to_edges(spark.createDataFrame(SQUARES, RINGS))
     pts = [(1, 0.5, 0.5), (2, 1.0, 0.5), (3, 3.0, 3.0), (4, 1.0, 1.0), (5, 1.5, 0.0), (6, 0.5, 1.0)]
     p = spark.createDataFrame(pts, "i int, x double, y double")
-    got = rows(G.point_in_polygon(p, edges, "x", "y", cell, limit=limit).select("i", "area"))
+    got = rows(G.point_in_polygon(p, edges, "x", "y", cell).select("i", "area"))
     assert got == [(1, "A"), (2, "A"), (2, "B"), (3, None), (4, "A"), (4, "B"), (5, "B"), (6, "A")]
 
 
@@ -180,11 +179,32 @@ def test_complete_grid_keeps_missing_level(spark, rows):
     assert rows(R.complete_grid(df, ["y", "a"])) == [(1, "b", None), (1, None, 1.0), (2, "b", 2.0), (2, None, None)]
 
 
-def test_replicate_both_ways(spark, rows):
+def test_replicate(spark, rows):
     df = spark.createDataFrame([(i, "x") for i in range(20)], "i int, s string")
     years = spark.createDataFrame([(y,) for y in range(7)], "y int")
     few = rows(R.replicate(df, years))
-    assert len(few) == 140 and few == rows(R.replicate(df, years, limit=3))
+    assert few == sorted(((i, "x", y) for i in range(20) for y in range(7)), key=repr) == rows(R.replicate(df, years, salts=3))
+    many = R.replicate(spark.range(3), spark.range(20_000).toDF("y"))
+    assert many.count() == 60_000 == many.distinct().count()
+
+
+def test_pivot_refuses_an_undeclared_level(spark):
+    df = spark.createDataFrame([("s1", "A", 1.0), ("s1", "C", 2.0)], "s string, k string, v double")
+    with pytest.raises(Exception, match="not among the declared levels: C"):
+        R.pivot_fill0(df, ["s"], "k", "v", ["A", "B"]).collect()
+
+
+def test_histogram_of_a_constant(spark, rows):
+    df = spark.createDataFrame([(2.0,), (2.0,), (None,), (float("nan"),)], "v double")
+    assert rows(A.histogram(df, "v", 20)) == [(1, 2)]
+
+
+def test_many_polygons_in_one_cell(spark):
+    squares = [(i, 0, [(0.0, 0.0), (i + 1.0, 0.0), (i + 1.0, 1.0), (0.0, 1.0)]) for i in range(2000)]
+    edges = G.rings_to_edges(spark.createDataFrame(squares, RINGS.replace("poly_id string", "poly_id int")))
+    p = spark.createDataFrame([(1, 1500.5, 0.5), (2, 0.5, 5.0)], "i int, x double, y double")
+    got = G.point_in_polygon(p, edges, "x", "y", 4000.0).collect()
+    assert sorted(r.area for r in got if r.i == 1) == list(range(1500, 2000)) and [r.area for r in got if r.i == 2] == [None]
 
 
 def test_pivot_fill0(spark):
