@@ -11,8 +11,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .linear import (LinearFit, active, cell_moments, centers_of, design, fetch_cells, levels_of,
-                     moment_matrix, _roles)
+from ..session import written
+from .linear import (LinearFit, cell_moments, centers_of, design, design_sums, independent, levels_of, moment, square,
+                     _roles)
 from .series import previous
 
 
@@ -37,41 +38,40 @@ def fit_gls_ar1(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     """
     cols_n = _roles(df, response, terms, factors)
     numerics = cols_n[:-1]
-    rows = fetch_cells(ar1_moments(df, response, numerics, factors, series, time, checked))
-    cols = design(terms, levels_of(rows, factors))
-    centers = centers_of(rows, cols_n)
+    cells = written(ar1_moments(df, response, numerics, factors, series, time, checked), "moments")
+    cols = design(terms, levels_of(cells, factors))
+    centers = centers_of(cells, cols_n)
     both = [*cols_n, *[f"prev_{c}" for c in cols_n]]
     all_centers = {**centers, **{f"prev_{c}": centers[c] for c in cols_n}}
     k, p, y = len(cols_n) + 1, len(cols), len(cols_n)
     base = {None: 0, **{c: i + 1 for i, c in enumerate(numerics)}}
-    pieces = []
-    for row in rows:
-        m = moment_matrix(row, both, all_centers)
-        cur = np.r_[0:k]
-        prev = np.r_[0, k:2 * k - 1]           # the intercept is its own previous value
-        on = active(cols, row)
-        pieces.append((row["gap"], row["n"], on, [base[cols[i].numeric] for i in on],
-                       m[np.ix_(cur, cur)], m[np.ix_(cur, prev)], m[np.ix_(prev, prev)]))
-    n = sum(x[1] for x in pieces)
+    m = lambda i, j: moment(both, all_centers, i, j)
+    before = lambda i: i + k - 1 if i else 0  # noqa: E731  the intercept is its own previous value
+    kinds = {"cc": m, "cp": lambda i, j: m(i, before(j)) + m(j, before(i)), "pp": lambda i, j: m(before(i), before(j))}
+    by_gap: dict[int, list] = {}
+    for x in design_sums(cells, cols, base, k, y, kinds, ["gap"]).collect():  # p^2 numbers per gap
+        by_gap.setdefault(x["gap"], []).append(x)
+    counts = {x["gap"]: x["n"] for x in cells.groupBy("gap").agg(F.sum("n").alias("n")).collect()}
+    pieces = [(gap, counts[gap], *[square(rows, kind, p) for kind in kinds]) for gap, rows in sorted(by_gap.items())]
+    n = sum(counts.values())
 
     def cross(phi):
         xx, xy, yy, logdet = np.zeros((p, p)), np.zeros(p), 0.0, 0.0
-        for gap, cnt, on, idx, cc, cp, pp in pieces:
-            if gap == 0:
-                w = cc
-            else:
-                rho = phi ** gap
-                w = (cc - rho * (cp + cp.T) + rho * rho * pp) / (1 - rho * rho)
+        for gap, cnt, cc, cp, pp in pieces:
+            rho = phi ** gap if gap else 0.0
+            if gap:
                 logdet += cnt * np.log1p(-rho * rho)
-            xx[np.ix_(on, on)] += w[np.ix_(idx, idx)]
-            xy[on] += w[idx, y]
-            yy += w[y, y]
-        return xx, xy, yy, logdet
+            w = [(c - rho * x + rho * rho * q) / (1 - rho * rho) for c, x, q in zip(cc, cp, pp)]
+            xx, xy, yy = xx + w[0], xy + w[1], yy + w[2]
+        return xx[own], xy[kept], yy, logdet
+
+    kept = independent(sum(cc[0] for _, _, cc, _, _ in pieces))
+    own, rank = np.ix_(kept, kept), len(kept)
 
     def reml(phi):
         xx, xy, yy, logdet = cross(phi)
         rss = yy - xy @ np.linalg.solve(xx, xy)
-        return -(n - p) / 2 * np.log(rss / (n - p)) - logdet / 2 - np.linalg.slogdet(xx)[1] / 2
+        return -(n - rank) / 2 * np.log(rss / (n - rank)) - logdet / 2 - np.linalg.slogdet(xx)[1] / 2
 
     # nested grids around the best value of atanh(phi), so the whole open interval is searched
     lo, hi, points = -9.0, 9.0, 181
@@ -83,9 +83,11 @@ def fit_gls_ar1(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     xx, xy, yy, logdet = cross(phi)
     beta = np.linalg.solve(xx, xy)
     rss = float(yy - beta @ xy)
-    sigma2 = rss / (n - p)
+    sigma2 = rss / (n - rank)
     ml = -n / 2 * (np.log(2 * np.pi * rss / n) + 1) - logdet / 2
-    fit = LinearFit(response, cols, beta.copy(), np.linalg.inv(xx) * sigma2, sigma2, n, rss, centers)
+    every, cov = np.zeros(p), np.zeros((p, p))
+    every[kept], cov[own] = beta, np.linalg.inv(xx) * sigma2
+    fit = LinearFit(response, cols, every, cov, sigma2, n, rss, centers, aliased=frozenset(range(p)) - frozenset(kept))
     fit.beta[0] += centers[response]
-    fit.extra = {"phi": phi, "reml": float(reml(phi)), "aic": float(-2 * ml + 2 * (p + 2))}
+    fit.extra = {"phi": phi, "reml": float(reml(phi)), "aic": float(-2 * ml + 2 * (rank + 2))}
     return fit

@@ -1,13 +1,13 @@
 """Linear models from moments aggregated on the cluster.
 
 Rows are reduced to one set of moments per combination of factor levels; means and covariances are
-merged stably by the engine. Only that small table reaches the driver, where the design matrix
-algebra is carried out on it. The number of combinations is checked before it is fetched.
+merged stably by the engine. The products of design columns are summed from them on the cluster, so
+the driver receives one number per pair of columns, whatever the number of combinations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations, product
@@ -16,8 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.fixed_values import Z95
-
-MAX_CELLS = 200_000
+from ..session import written
 
 
 # ---- terms ----------------------------------------------------------------------------------
@@ -72,36 +71,69 @@ def cell_moments(df: DataFrame, factors: Sequence[str], numerics: Sequence[str])
         *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs])
 
 
-def fetch_cells(moments: DataFrame, limit: int = MAX_CELLS) -> list:
-    """Bring the moment table to the driver, refusing designs with too many combinations."""
-    rows = moments.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} factor combinations: not a direct least-squares design")
-    return rows
-
-
-def moment_matrix(row, numerics: Sequence[str], centers: dict[str, float]) -> np.ndarray:
-    """Cross products of (1, x - center, ...) over the rows of one cell."""
-    k = len(numerics) + 1
-    d = np.array([0.0] + [row[f"m_{c}"] - centers[c] for c in numerics])
-    out = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            if i == 0:
-                v = 1.0 if j == 0 else d[j]
-            else:
-                v = row[f"c_{numerics[i - 1]}_{numerics[j - 1]}"] + d[i] * d[j]
-            out[i, j] = out[j, i] = row["n"] * v
-    return out
-
-
-def centers_of(rows, numerics: Sequence[str]) -> dict[str, float]:
-    n = sum(x["n"] for x in rows)
-    return {c: sum(x["n"] * x[f"m_{c}"] for x in rows) / n for c in numerics}
-
-
-def active(cols: Sequence[DesignColumn], row) -> list[int]:
-    return [i for i, c in enumerate(cols) if all(row[f] == v for f, v in c.levels)]
+def centers_of(cells: DataFrame, numerics: Sequence[str]) -> dict[str, float]:
+    """Overall means, from the cells."""
+    one = cells.agg(*[(F.sum(F.col("n") * F.col(f"m_{c}")) / F.sum("n")).alias(c) for c in numerics]).first()
+    return {c: one[c] for c in numerics}
+
+
+def moment(names: Sequence[str], centers: dict[str, float], i: int, j: int) -> Column:
+    """Sum over the rows of a cell of (1, x - center, ...)[i] times the same at j."""
+    i, j = min(i, j), max(i, j)
+    off = lambda k: F.col(f"m_{names[k - 1]}") - F.lit(float(centers[names[k - 1]]))
+    if i == 0:
+        return F.col("n") * (F.lit(1.0) if j == 0 else off(j))
+    return F.col("n") * (F.col(f"c_{names[i - 1]}_{names[j - 1]}") + off(i) * off(j))
+
+
+def design_sums(cells: DataFrame, cols: Sequence[DesignColumn], base: dict, size: int, response: int,
+                kinds: dict[str, Callable[[int, int], Column]], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, i, j, kinds): products of design columns i <= j, summed over all cells on the cluster.
+
+    The last index stands for the response. ``kinds`` gives the product of two base columns within a cell.
+    """
+    entries = []
+    for i, c in enumerate(cols):
+        e = F.struct(F.lit(i).alias("i"), F.lit(base[c.numeric]).alias("b"))
+        on = [F.col(f).eqNullSafe(F.lit(v)) for f, v in c.levels]
+        entries.append(F.when(reduce(lambda x, y: x & y, on), e) if on else e)
+    entries.append(F.struct(F.lit(len(cols)).alias("i"), F.lit(response).alias("b")))
+    flat = {k: F.array(*[f(i, j) for i in range(size) for j in range(size)]) for k, f in kinds.items()}
+    x = cells.select(*keys, *[v.alias(k) for k, v in flat.items()], F.array_compact(F.array(*entries)).alias("_e"))
+    x = x.select("*", F.explode("_e").alias("_a")).select("*", F.explode("_e").alias("_b")).where("_a.i <= _b.i")
+    at = F.col("_a.b") * size + F.col("_b.b") + 1
+    return (x.groupBy(*keys, F.col("_a.i").alias("i"), F.col("_b.i").alias("j"))
+            .agg(*[F.sum(F.element_at(k, at)).alias(k) for k in kinds]))
+
+
+def square(rows, kind: str, p: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """X'X, X'y and y'y from the summed products."""
+    full = np.zeros((p + 1, p + 1))
+    for x in rows:
+        full[x["i"], x["j"]] = full[x["j"], x["i"]] = x[kind]
+    return full[:p, :p], full[:p, p], float(full[p, p])
+
+
+def independent(xx: np.ndarray) -> list[int]:
+    """Columns that are not combinations of earlier ones; combinations of levels that never occur are left out."""
+    kept: list[int] = []
+    for i in range(len(xx)):
+        rest = xx[i, i]
+        if kept and rest > 0:
+            v = xx[kept, i]
+            rest -= v @ np.linalg.solve(xx[np.ix_(kept, kept)], v)
+        if rest > 1e-9 * max(xx[i, i], 1e-300):
+            kept.append(i)
+    return kept
+
+
+def solved(xx: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Coefficients (0 for aliased columns), inverse of X'X in the same place, and the kept columns."""
+    kept = independent(xx)
+    beta, inverse = np.zeros(len(xx)), np.zeros_like(xx)
+    own = np.ix_(kept, kept)
+    beta[kept], inverse[own] = np.linalg.solve(xx[own], xy[kept]), np.linalg.inv(xx[own])
+    return beta, inverse, kept
 
 
 # ---- fits -----------------------------------------------------------------------------------
@@ -117,6 +149,7 @@ class LinearFit:
     rss: float
     centers: dict[str, float]
     extra: dict[str, float] = field(default_factory=dict)
+    aliased: frozenset[int] = frozenset()   # columns without an estimate
 
     def _uncentered(self) -> np.ndarray:
         """Map from coefficients of centered columns to those of the columns as given."""
@@ -128,11 +161,12 @@ class LinearFit:
         return t
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
-        """Term, estimate, standard error and 95 % interval."""
+        """Term, estimate, standard error and 95 % interval; NULL for a column that others determine."""
         t = self._uncentered()
         b, se = t @ self.beta, np.sqrt(np.clip(np.diag(t @ self.cov @ t.T), 0, None))
-        rows = [(c.name, float(x), float(s), float(x - Z95 * s), float(x + Z95 * s))
-                for c, x, s in zip(self.columns, b, se)]
+        rows = [(c.name, None, None, None, None) if i in self.aliased else
+                (c.name, float(x), float(s), float(x - Z95 * s), float(x + Z95 * s))
+                for i, (c, x, s) in enumerate(zip(self.columns, b, se))]
         return spark.createDataFrame(rows, "term string, estimate double, std_error double, lwr double, upr double")
 
     def fitted(self) -> Column:
@@ -167,35 +201,34 @@ def _roles(df, response, terms, factors):
     return numerics
 
 
-def levels_of(rows, factors: Sequence[str]) -> dict[str, list]:
-    return {f: sorted({x[f] for x in rows}) for f in factors}
+def levels_of(cells: DataFrame, factors: Sequence[str]) -> dict[str, list]:
+    """Sorted levels of each factor; as many values as the design has columns for them."""
+    return {f: sorted(r[0] for r in cells.select(f).where(F.col(f).isNotNull()).distinct().collect()) for f in factors}
 
 
 def fit_ols(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
             factors: Sequence[str] = ()) -> LinearFit:
-    """Least squares for ``response ~ terms``; terms are tuples of factors and at most one numeric."""
+    """Least squares for ``response ~ terms``; terms are tuples of factors and at most one numeric.
+
+    Products of design columns are summed on the cluster over any number of factor combinations; the driver
+    receives one number per pair of columns.
+    """
     numerics = _roles(df, response, terms, factors)
-    rows = fetch_cells(cell_moments(df, factors, numerics))
-    cols = design(terms, levels_of(rows, factors))
-    centers = centers_of(rows, numerics)
+    cells = written(cell_moments(df, factors, numerics), "moments")
+    cols = design(terms, levels_of(cells, factors))
+    centers = centers_of(cells, numerics)
     base = {None: 0, **{c: i + 1 for i, c in enumerate(numerics)}}
     p, y = len(cols), len(numerics)
-    xx, xy, yy, n = np.zeros((p, p)), np.zeros(p), 0.0, 0
-    for row in rows:
-        m = moment_matrix(row, numerics, centers)
-        on = active(cols, row)
-        idx = [base[cols[i].numeric] for i in on]
-        xx[np.ix_(on, on)] += m[np.ix_(idx, idx)]
-        xy[on] += m[idx, y]
-        yy += m[y, y]
-        n += row["n"]
-    beta = np.linalg.solve(xx, xy)
-    rss = float(yy - beta @ xy)
-    sigma2 = rss / (n - p)
-    fit = LinearFit(response, cols, beta, np.linalg.inv(xx) * sigma2, sigma2, n, rss, centers)
-    fit.beta = beta.copy()
+    sums = design_sums(cells, cols, base, y + 1, y, {"v": lambda i, j: moment(numerics, centers, i, j)}).collect()
+    xx, xy, yy = square(sums, "v", p)
+    n = int(cells.agg(F.sum("n")).first()[0])
+    beta, inverse, kept = solved(xx, xy)
+    rss, rank = float(yy - beta @ xy), len(kept)
+    sigma2 = rss / (n - rank)
+    fit = LinearFit(response, cols, beta.copy(), inverse * sigma2, sigma2, n, rss, centers,
+                    aliased=frozenset(range(p)) - frozenset(kept))
     fit.beta[0] += centers[response]      # the response was centered too
-    fit.extra = {"r2": 1 - rss / yy, "aic": n * np.log(2 * np.pi * rss / n) + n + 2 * (p + 1)}
+    fit.extra = {"r2": 1 - rss / yy, "aic": n * np.log(2 * np.pi * rss / n) + n + 2 * (rank + 1)}
     return fit
 
 

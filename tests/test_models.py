@@ -168,10 +168,43 @@ def test_exact_quantiles(spark, kind):
     assert whole.q == pytest.approx(list(np.quantile(v, probs)), rel=1e-12, abs=1e-12)
 
 
-def test_too_many_cells_is_refused(spark):
-    df = spark.range(100).select(F.col("id").cast("string").alias("f"), F.col("id").cast("double").alias("x"))
-    with pytest.raises(ValueError, match="combinations"):
-        L.fetch_cells(L.cell_moments(df, ["f"], ["x"]), limit=10)
+def test_many_cells(spark):
+    """More factor combinations than any driver table should hold, with the fit of dense algebra."""
+    n = 300_000
+    df = spark.range(n).select((F.col("id") % 600).cast("string").alias("f"), F.floor(F.col("id") / 600).cast("string").alias("g"),
+                               (F.col("id") * 7 % 101).cast("double").alias("x"), (F.col("id") * 13 % 97).cast("double").alias("y"))
+    cells = L.cell_moments(df, ["f", "g"], ["x", "y"])
+    centers = L.centers_of(cells, ["x", "y"])
+    cols = L.design([("x",)], {})
+    sums = L.design_sums(cells, cols, {None: 0, "x": 1}, 3, 2, {"v": lambda i, j: L.moment(["x", "y"], centers, i, j)}).collect()
+    xx, xy, yy = L.square(sums, "v", 2)
+    i = np.arange(n)
+    x, y = i * 7 % 101 - centers["x"], i * 13 % 97 - centers["y"]
+    assert xx == pytest.approx(np.array([[n, 0], [0, x @ x]]), rel=1e-9, abs=1e-3)
+    assert (xy[1], yy) == pytest.approx((x @ y, y @ y), rel=1e-9, abs=1e-3)
+
+
+def test_combination_that_never_occurs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(a, b, float(v)) for a, b, v in zip(rng.choice(["p", "q"], 60), rng.choice(["r", "s"], 60), rng.standard_normal(60))
+            if (a, b) != ("q", "s")]
+    fit = L.fit_ols(spark.createDataFrame(rows, "a string, b string, y double"), "y", [("a",), ("b",), ("a", "b")], ["a", "b"])
+    got = {r.term: r.estimate for r in fit.coefficients(spark).collect()}
+    mean = lambda a, b: np.mean([v for x, z, v in rows if (x, z) == (a, b)])
+    values = list(got.values())
+    assert values[:3] == pytest.approx([mean("p", "r"), mean("q", "r") - mean("p", "r"), mean("p", "s") - mean("p", "r")])
+    assert values[3] is None and len(values) == 4
+
+
+def test_correlation_near_one_is_not_clipped(spark):
+    from shoalmark.operators.ar1 import fit_gls_ar1
+    walk = np.cumsum(np.random.default_rng(5).standard_normal(400))
+    rows = [("s", i, float(i % 7), float(v)) for i, v in enumerate(walk)]
+    df = spark.createDataFrame(rows, "s string, t int, x double, y double")
+    assert fit_gls_ar1(df, "y", [("x",)], [], ["s"], "t").extra["phi"] > 0.99
+    turns = [("s", i, float(i % 7), float((-1) ** i * (10 + v / 50))) for i, v in enumerate(walk)]
+    df = spark.createDataFrame(turns, "s string, t int, x double, y double")
+    assert fit_gls_ar1(df, "y", [("x",)], [], ["s"], "t").extra["phi"] < -0.95
 
 
 def test_too_many_random_effects_is_refused(spark, monkeypatch):
