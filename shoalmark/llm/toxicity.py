@@ -66,6 +66,17 @@ class SubwordModel:
         return _mean(self.bucket[ids], starts, len(ids))
 
 
+def _all_subwords(words: list[str], step: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """``subword_ids`` of many words, in steps that keep the driver's memory low."""
+    ids, starts, at = [], [], 0
+    for i in range(0, len(words), step):
+        own, begin = subword_ids(words[i:i + step], BUCKETS)
+        ids.append(own.astype(np.int32))
+        starts.append(begin + at)
+        at += len(own)
+    return np.concatenate(ids), np.concatenate(starts)
+
+
 def train(texts: list[str], labels: list[int], epochs: int = 20, rate: float = 0.3, seed: int = 7) -> SubwordModel:
     """Fit vectors and softmax layer together on labelled texts."""
     y = np.asarray(labels, np.int64)
@@ -88,7 +99,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 20, rate: float = 0
         return train([], [])
     tokens, starts, doc = np.concatenate(seen), np.array(window_starts), np.array(window_doc)
     ends = np.append(starts[1:], len(tokens))
-    grams, gram_starts = subword_ids(list(number), BUCKETS)
+    grams, gram_starts = _all_subwords(list(number))
     known, grams = np.unique(grams, return_inverse=True)  # only buckets that occur are trained
     gram_counts = np.diff(np.append(gram_starts, len(grams)))
 
