@@ -96,12 +96,15 @@ class MixedFit:
 def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
               random: Sequence[RandomTerm], levels: dict[str, list] | None = None,
               max_iter: int = 500, tol: float = 1e-7) -> MixedFit:
-    """EM-REML. ``levels`` gives the sorted levels of the fixed factors.
+    """EM-REML. ``levels`` gives the sorted levels of the fixed factors; a row with another level is an error.
 
     Crossed random terms are allowed; their levels together are limited, because the mixed-model
     equations are solved on the driver.
     """
     fixed = design(terms, levels or {})
+    for f, known in (levels or {}).items():  # an unlisted level would silently count as the reference
+        told = F.concat(F.lit(f"{f}: not among the given levels: "), F.col(f).cast("string"))
+        df = df.withColumn(f, F.when(F.col(f).isNull() | F.col(f).isin(list(known)), F.col(f)).otherwise(F.raise_error(told)))
     prods = cut_lineage(cross_products(df, response, fixed, random))
     effects = prods.where("i = j").count() - len(fixed) - 1
     if effects > MAX_LEVELS:
