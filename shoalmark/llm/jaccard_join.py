@@ -50,26 +50,32 @@ def count_tokens(docs: DataFrame, text: str, width: int, size: int = SKETCH) ->
     """Counters of all shingles by the low bits of their hash; tasks send small blocks of counters, summed on the cluster."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.int32)
+
+        def take(held: list[np.ndarray]) -> None:
+            at, n = np.unique((np.concatenate(held) & np.uint64(size - 1)).astype(np.int32), return_counts=True)
+            total[at] += n.astype(np.int32)
+
         for batch in batches:
             held, n = [], 0
             for s in shingles(batch.column(0), width):
                 held.append(s)
                 n += len(s)
-                if n > 1 << 20:
-                    total += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                if n > 1 << 19:
+                    take(held)
                     held, n = [], 0
             if n:
-                total += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        if total.any():
-            blocks = total.reshape(-1, _BLOCK)
-            kinds = [np.uint8 if m < 256 else np.uint16 if m < 65536 else np.int64 for m in blocks.max(axis=1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()),
-                                              pa.array([b.astype(k).tobytes() for b, k in zip(blocks, kinds)], pa.binary())],
+                take(held)
+        blocks = total.reshape(-1, _BLOCK)
+        for i in range(0, len(blocks) if total.any() else 0, 256):
+            part = blocks[i:i + 256]
+            kinds = [np.uint8 if m < 256 else np.uint16 if m < 65536 else np.int32 for m in part.max(axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(i, i + len(part)), pa.int32()),
+                                              pa.array([b.astype(k).tobytes() for b, k in zip(part, kinds)], pa.binary())],
                                              names=["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, sums = {_BLOCK: np.uint8, 2 * _BLOCK: np.uint16, 8 * _BLOCK: np.int64}, {}
+        kinds, sums = {_BLOCK: np.uint8, 2 * _BLOCK: np.uint16, 4 * _BLOCK: np.int32}, {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = sums.setdefault(block, np.zeros(_BLOCK, np.int64))
