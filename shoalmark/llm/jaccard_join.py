@@ -81,15 +81,15 @@ def count_tokens(docs: DataFrame, text: str, width: int, size: int = SKETCH) ->
                 own = sums.setdefault(block, np.zeros(_BLOCK, np.int64))
                 own += np.frombuffer(counts, kinds[len(counts)])
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
-                                          pa.array([s.tobytes() for s in sums.values()], pa.binary())],
+                                          pa.array([np.minimum(s, 0xFFFFFFFF).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())],
                                          names=["block", "counts"])
 
     schema = "block int, counts binary"
     parts = docs.select(text).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
-    out = np.zeros((size // _BLOCK, _BLOCK), np.int64)
-    for row in parts.collect():  # size / 1024 rows of 8 KB, whatever the data
-        out[row.block] = np.frombuffer(row.counts, np.int64)
-    return np.minimum(out.reshape(-1), np.iinfo(np.uint32).max).astype(np.uint32)
+    out = np.zeros((size // _BLOCK, _BLOCK), np.uint32)
+    for row in parts.collect():  # size / 1024 rows of 4 KB, whatever the data
+        out[row.block] = np.frombuffer(row.counts, np.uint32)
+    return out.reshape(-1)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
