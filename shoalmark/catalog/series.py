@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import series as S
 from .base import query, r, rnd, table
-from .summaries import LANDINGS_SQL, TEMP_SQL, landed, temps
+from .summaries import ALL_TEMP_SQL, LANDINGS_SQL, all_temps, landed
 
 
 @query("autocorrelation", f"""WITH daily AS (
@@ -60,11 +60,11 @@ def rolling_trend(spark, sf):
     return S.rolling_mean(yearly(spark, sf), ["id"], "year", "y").withColumn("trend", rnd("trend"))
 
 
-@query("trend_per_group", f"""WITH {TEMP_SQL}
+@query("trend_per_group", f"""WITH {ALL_TEMP_SQL}
 SELECT id, season, {r('regr_slope(temp, year)', 8)} AS slope, {r('regr_intercept(temp, year)')} AS intercept,
   {r('regr_r2(temp, year)', 8)} AS r2, CAST(regr_count(temp, year) AS BIGINT) AS n FROM temps GROUP BY id, season""")
 def trend_per_group(spark, sf):
-    out = S.trend_per_group(temps(spark, sf), ["id", "season"], "year", "temp")
+    out = S.trend_per_group(all_temps(spark, sf), ["id", "season"], "year", "temp")
     return out.select("id", "season", rnd("slope", 8).alias("slope"), rnd("intercept").alias("intercept"),
                       rnd("r2", 8).alias("r2"), "n")
 
