@@ -2,20 +2,29 @@
 
 The rows are first reduced to moments per combination of factor levels, pair products of design
 columns are formed inside those few rows and summed; at most (columns)^2 numbers reach the driver.
+
+With many random levels the largest term stays on the cluster: one row per level holds its products, each round sums what the
+levels contribute to the equations of the other columns and to the variances, and only those sums reach the driver. The
+estimates are the same either way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .linear import DesignColumn, design
 
+#: Columns of the equations that the driver solves; beyond it the largest random term is eliminated on the cluster.
 MAX_LEVELS = 2_000
+#: Numbers a task holds at a time when it works on levels.
+_CHUNK = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -77,6 +86,8 @@ class MixedFit:
     random: tuple[RandomTerm, ...]
     iterations: int
     n: int
+    #: group and (level, u: its effects) of the term that stayed on the cluster, if any
+    absorbed: tuple[str, DataFrame] | None = None
 
     def table(self, spark: SparkSession) -> DataFrame:
         """All estimates: fixed coefficients, variance components and predicted effects."""
@@ -87,10 +98,129 @@ class MixedFit:
             rows += [("variance", t.group, a if a == b else f"{a},{b}", float(g[i, j]), None)
                      for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
             rows += [("effect", f"{t.group}={lv}", a, float(u[i]), None)
-                     for lv, u in self.effects[t.group].items() for i, a in enumerate(names)]
+                     for lv, u in self.effects.get(t.group, {}).items() for i, a in enumerate(names)]
         rows.append(("variance", "residual", "", self.residual, None))
-        return spark.createDataFrame(
+        out = spark.createDataFrame(
             rows, "kind string, term string, part string, estimate double, std_error double")
+        if self.absorbed is None:
+            return out
+        group, found = self.absorbed
+        slopes = next(t.slopes for t in self.random if t.group == group)
+        names = F.array(*[F.lit(a) for a in ("(Intercept)", *slopes)])
+        return out.unionByName(
+            found.select(F.lit("effect").alias("kind"), F.concat(F.lit(f"{group}="), "level").alias("term"),
+                         F.posexplode("u").alias("_k", "estimate"))
+            .select("kind", "term", F.get(names, F.col("_k")).alias("part"), "estimate",
+                    F.lit(None).cast("double").alias("std_error")))
+
+
+# ---- the term that stays on the cluster -----------------------------------------------------
+
+def _prefixes(t: RandomTerm) -> list[str]:
+    return [f"{t.group}=", *[f"{t.group}:{s}=" for s in t.slopes]]
+
+
+def _part(name: Column, t: RandomTerm) -> Column:
+    """Which part of the term a design column is (0: intercept), null for columns of others."""
+    return F.coalesce(*[F.when(name.startswith(p), F.lit(k)) for k, p in enumerate(_prefixes(t))], F.lit(None).cast("int"))
+
+
+def level_blocks(prods: DataFrame, t: RandomTerm, order: Sequence[str]) -> DataFrame:
+    """One row per level: products of its parts k with the columns c of ``order``, then with its own parts.
+
+    A level's row has at most parts x (columns + parts) entries, so no row grows with the data.
+    """
+    i, j = F.col("i"), F.col("j")
+    level = F.coalesce(*[F.when(i.startswith(p), i.substr(F.lit(len(p) + 1), F.length(i))) for p in _prefixes(t)])
+    both = prods.select("i", "j", "v").union(prods.where("i <> j").select(j.alias("i"), i.alias("j"), "v"))
+    # as many names as the driver's equations have columns
+    names = prods.sparkSession.createDataFrame([(c, k) for k, c in enumerate(order)], "j string, c int")
+    return written(both.where(_part(i, t).isNotNull()).join(F.broadcast(names), "j", "left")
+                   .select(level.alias("level"), F.struct(
+                       _part(i, t).alias("k"), F.coalesce("c", F.lit(len(order)) + _part(j, t)).alias("c"), "v").alias("e"))
+                   .groupBy("level").agg(F.collect_list("e").alias("e")), "level-blocks")
+
+
+def _over_levels(blocks: DataFrame, d: int, width: int, schema: str,
+                 kernel: Callable[[pa.Array, np.ndarray], pa.RecordBatch | np.ndarray]) -> DataFrame:
+    """Run a kernel on (levels, parts, columns) arrays; arrays it returns are added up within a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        step = max(1, _CHUNK // (d * width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                lists = part.column(1)
+                k, c, v = lists.flatten().flatten()
+                x = np.zeros((len(lists), d, width))
+                row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                x[row, k.to_numpy(), c.to_numpy()] = v.to_numpy()
+                out = kernel(part.column(0), x)
+                if isinstance(out, np.ndarray):
+                    total = out if total is None else total + out
+                else:
+                    yield out
+        if total is not None:
+            i, j = np.indices(total.shape, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "v"])
+
+    return blocks.select("level", "e").mapInArrow(run, schema)
+
+
+class AbsorbedTerm:
+    """Eliminates one random term; q columns and the response remain."""
+
+    def __init__(self, prods: DataFrame, term: RandomTerm, order: Sequence[str]):
+        self.term, self.d, self.q = term, 1 + len(term.slopes), len(order)
+        self.blocks = level_blocks(prods, term, [*order, "response"])
+
+    def _solved(self, penalty: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rest = self.q + 1
+
+        def solved(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            m = np.linalg.inv(x[:, :, rest:] + penalty)
+            return m, x[:, :, :rest], m @ x[:, :, :rest]
+        return solved
+
+    def _sum(self, kernel: Callable[[pa.Array, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        sums = _over_levels(self.blocks, self.d, self.q + 1 + self.d, "i int, j int, v double", kernel).groupBy("i", "j").agg(F.sum("v").alias("v"))
+        out = np.zeros((size, size))
+        for r in sums.collect():  # size^2 numbers
+            out[r.i, r.j] = r.v
+        return out
+
+    def schur(self, penalty: np.ndarray) -> np.ndarray:
+        """What the levels take from the equations of the other columns (the response last)."""
+        solved = self._solved(penalty)
+
+        def kernel(_, x):
+            _, b, mb = solved(x)
+            return b.reshape(-1, b.shape[2]).T @ mb.reshape(-1, b.shape[2])
+        return self._sum(kernel, self.q + 1)
+
+    def moments(self, penalty: np.ndarray, sol: np.ndarray, inv: np.ndarray, s2: float) -> tuple[np.ndarray, float]:
+        """Mean over levels of the expected squares of the effects, and their share in the sum of squares."""
+        solved, d, q = self._solved(penalty), self.d, self.q
+
+        def kernel(_, x):
+            m, b, mb = solved(x)
+            u = mb[:, :, q] - mb[:, :, :q] @ sol
+            out = np.zeros((d + 1, d + 1))
+            spread = m + (mb[:, :, :q] @ inv) @ mb[:, :, :q].transpose(0, 2, 1)
+            out[:d, :d] = u.T @ u + s2 * spread.sum(axis=0)
+            out[d, d], out[0, d] = (u * b[:, :, q]).sum(), len(u)
+            return out
+        out = self._sum(kernel, d + 1)
+        return out[:d, :d] / out[0, d], float(out[d, d])
+
+    def effects(self, penalty: np.ndarray, sol: np.ndarray) -> DataFrame:
+        solved, q = self._solved(penalty), self.q
+
+        def kernel(levels, x):
+            _, _, mb = solved(x)
+            return pa.RecordBatch.from_arrays([levels, pa.array((mb[:, :, q] - mb[:, :, :q] @ sol).tolist(), pa.list_(pa.float64()))], ["level", "u"])
+        return written(_over_levels(self.blocks, self.d, q + 1 + self.d, "level string, u array<double>", kernel), "effects")
 
 
 def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
@@ -98,53 +228,70 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
               max_iter: int = 500, tol: float = 1e-7) -> MixedFit:
     """EM-REML. ``levels`` gives the sorted levels of the fixed factors; a row with another level is an error.
 
-    Crossed random terms are allowed; their levels together are limited, because the mixed-model
-    equations are solved on the driver.
+    Crossed random terms are allowed. The term with most levels may have any number of them; the levels of the
+    others are limited together, because their equations are solved on the driver.
     """
     fixed = design(terms, levels or {})
     for f, known in (levels or {}).items():  # an unlisted level would silently count as the reference
         told = F.concat(F.lit(f"{f}: not among the given levels: "), F.col(f).cast("string"))
         df = df.withColumn(f, F.when(F.col(f).isNull() | F.col(f).isin(list(known)), F.col(f)).otherwise(F.raise_error(told)))
     prods = cut_lineage(cross_products(df, response, fixed, random))
-    effects = prods.where("i = j").count() - len(fixed) - 1
-    if effects > MAX_LEVELS:
-        raise ValueError(f"{effects} random effects: use the shrinkage estimator for large groupings")
-    rows = prods.collect()
+    diagonal = prods.where("i = j")
+    sizes = diagonal.agg(*[F.count(_part(F.col("i"), t)).alias(f"_{k}") for k, t in enumerate(random)]).first() if random else []
+    big = max(range(len(random)), key=lambda k: sizes[k]) if sum(sizes) > MAX_LEVELS else None
+    small = [t for k, t in enumerate(random) if k != big]
+    if big is not None and sum(sizes) - sizes[big] > MAX_LEVELS:
+        raise ValueError(f"{sum(sizes) - sizes[big]} effects beside the largest random term: use the shrinkage estimator for large groupings")
+    if big is not None:
+        rest = prods.where(_part(F.col("i"), random[big]).isNull() & _part(F.col("j"), random[big]).isNull())
+    rows = (prods if big is None else rest).collect()
     value = {(x["i"], x["j"]): x["v"] for x in rows}
     value.update({(j, i): v for (i, j), v in list(value.items())})
     names = {i for i, _ in value}
     fx = [f"fixed {c.name}" for c in fixed]
     groups = []
-    for t in random:
+    for t in small:
         prefix = f"{t.group}="
         lv = sorted(s[len(prefix):] for s in names if s.startswith(prefix))
         groups.append([[f"{t.group}={x}"] + [f"{t.group}:{s}={x}" for s in t.slopes] for x in lv])
     order = fx + [c for g in groups for b in g for c in b]
-    p, size = len(fx), len(order)
+    p = len(fx)
     c0 = np.array([[value.get((a, b), 0.0) for b in order] for a in order])
     rhs = np.array([value.get((a, "response"), 0.0) for a in order])
     yy = value[("response", "response")]
     n = int(round(value[("fixed (Intercept)", "fixed (Intercept)")]))
     s2 = max(yy / n, 1e-12)
-    g_mats = [np.eye(1 + len(t.slopes)) * s2 / 10 for t in random]
+    g_mats = [np.eye(1 + len(t.slopes)) * s2 / 10 for t in small]
+    absorbed = None if big is None else AbsorbedTerm(prods, random[big], order)
+    if absorbed:
+        g_mats.append(np.eye(absorbed.d) * s2 / 10)
     spans, at = [], p
-    for g, t in zip(groups, random):
+    for g, t in zip(groups, small):
         d = 1 + len(t.slopes)
         spans.append([np.arange(at + i * d, at + (i + 1) * d) for i in range(len(g))])
         at += d * len(g)
     for it in range(1, max_iter + 1):
-        lhs = c0.copy()
+        lhs, right = c0.copy(), rhs
         for g_mat, blocks in zip(g_mats, spans):
             pen = s2 * np.linalg.inv(g_mat)
             for b in blocks:
                 lhs[np.ix_(b, b)] += pen
+        if absorbed:
+            penalty = s2 * np.linalg.inv(g_mats[-1])
+            taken = absorbed.schur(penalty)
+            lhs, right = lhs - taken[:-1, :-1], rhs - taken[:-1, -1]
         inv = np.linalg.inv(lhs)
-        sol = inv @ rhs
-        new_s2 = float((yy - sol @ rhs) / (n - p))
+        sol = inv @ right
+        explained = sol @ rhs
         new_g = []
         for blocks in spans:
             acc = sum(np.outer(sol[b], sol[b]) + inv[np.ix_(b, b)] * s2 for b in blocks)
             new_g.append(acc / len(blocks) + np.eye(len(blocks[0])) * 1e-14)
+        if absorbed:
+            mean, share = absorbed.moments(penalty, sol, inv, s2)
+            new_g.append(mean + np.eye(absorbed.d) * 1e-14)
+            explained += share
+        new_s2 = float((yy - explained) / (n - p))
         move = max([abs(new_s2 - s2)] + [np.abs(a - b).max() for a, b in zip(new_g, g_mats)])
         s2, g_mats = new_s2, new_g
         if move < tol * max(s2, 1e-12):
@@ -152,8 +299,10 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     else:
         raise RuntimeError(f"no convergence in {max_iter} rounds: the last step moved a variance by {move:.3g}")
     se = np.sqrt(np.clip(np.diag(inv)[:p] * s2, 0, None))
+    held = [*small, *([random[big]] if absorbed else [])]
     return MixedFit(
         {f[len("fixed "):]: (float(b), float(e)) for f, b, e in zip(fx, sol[:p], se)},
-        {t.group: g for t, g in zip(random, g_mats)}, s2,
+        {t.group: g for t, g in zip(held, g_mats)}, s2,
         {t.group: {g[i][0].split("=", 1)[1]: sol[b] for i, b in enumerate(blocks)}
-         for t, g, blocks in zip(random, groups, spans)}, tuple(random), it, n)
+         for t, g, blocks in zip(small, groups, spans)}, tuple(random), it, n,
+        (random[big].group, absorbed.effects(penalty, sol)) if absorbed else None)

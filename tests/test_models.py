@@ -207,8 +207,43 @@ def test_correlation_near_one_is_not_clipped(spark):
     assert fit_gls_ar1(df, "y", [("x",)], [], ["s"], "t").extra["phi"] < -0.95
 
 
-def test_too_many_random_effects_is_refused(spark, monkeypatch):
+@pytest.mark.parametrize("slopes", [(), ("x",)])
+def test_a_term_on_the_cluster_gives_the_same_fit(spark, monkeypatch, slopes):
+    rng = np.random.default_rng(3)
+    u, s, w = rng.normal(size=30) * 2, rng.normal(size=30) * 0.7, rng.normal(size=5)
+    rows = [(f"v={g}", int(h), float(x), float(1 + 0.5 * x + u[g] + s[g] * x + w[h] + rng.normal()))
+            for g, h, x in zip(rng.integers(0, 30, 900), rng.integers(0, 5, 900), rng.normal(size=900))]
+    df = spark.createDataFrame(rows, "g string, h int, x double, y double")
+    terms = mixed.RandomTerm("h"), mixed.RandomTerm("g", slopes)
+    want = mixed.fit_mixed(df, "y", [("x",)], terms)
+    monkeypatch.setattr(mixed, "MAX_LEVELS", 10)
+    got = mixed.fit_mixed(df, "y", [("x",)], terms)
+    assert want.absorbed is None and got.absorbed is not None and got.iterations == want.iterations
+    assert got.residual == pytest.approx(want.residual, rel=1e-6)
+    for g in ("g", "h"):
+        assert np.allclose(got.covariances[g], want.covariances[g], rtol=1e-5)
+    key = lambda fit: {(r.kind, r.term, r.part): (r.estimate, r.std_error) for r in fit.table(spark).collect()}
+    a, b = key(want), key(got)
+    assert a.keys() == b.keys()
+    assert all(np.allclose([x or 0 for x in a[k]], [x or 0 for x in b[k]], atol=1e-5) for k in a)
+
+
+def test_many_random_levels(spark):
+    """A balanced one-way layout of 5,000 levels, whose REML estimates are those of the analysis of variance."""
+    rng = np.random.default_rng(4)
+    y = 3 + 2 * rng.normal(size=(5000, 1)) + rng.normal(size=(5000, 4))
+    df = spark.createDataFrame([(i, float(v)) for i, r in enumerate(y) for v in r], "g int, y double")
+    fit = mixed.fit_mixed(df, "y", [], (mixed.RandomTerm("g"),))
+    within = y.var(axis=1, ddof=1).mean()
+    between = y.mean(axis=1).var(ddof=1) - within / 4
+    assert fit.residual == pytest.approx(within, rel=1e-5)
+    assert fit.covariances["g"][0, 0] == pytest.approx(between, rel=1e-5)
+    assert fit.fixed["(Intercept)"][0] == pytest.approx(y.mean(), rel=1e-8)
+    assert fit.table(spark).where("kind = 'effect'").count() == 5000
+
+
+def test_two_large_random_terms_are_refused(spark, monkeypatch):
     monkeypatch.setattr(mixed, "MAX_LEVELS", 5)
-    df = spark.range(40).select(F.col("id").alias("g"), (F.col("id") * 1.0).alias("y"))
-    with pytest.raises(ValueError, match="random effects"):
-        mixed.fit_mixed(df, "y", [], (mixed.RandomTerm("g"),))
+    df = spark.range(40).select(F.col("id").alias("g"), (F.col("id") % 20).alias("h"), (F.col("id") * 1.0).alias("y"))
+    with pytest.raises(ValueError, match="beside the largest"):
+        mixed.fit_mixed(df, "y", [], (mixed.RandomTerm("g"), mixed.RandomTerm("h")))
