@@ -7,9 +7,11 @@ co-occur in its scope: an identifier needs a secret, an endpoint needs a secret,
 an endpoint. Base finds count as complements (access: identifier; assign and hex: secret). The scope of a part is the
 text within ``SCOPE`` code points of it.
 
-The parts of all rows are exploded and joined as intervals: each candidate is compared with the parts that start in
-its own or the neighbouring block of ``SCOPE`` code points of the same row. A block holds at most ``SCOPE`` parts
-starting in it, so no pair list grows with the length of a text, and keys are single blocks of single rows.
+The parts of all rows are exploded and joined as intervals by blocks of ``SCOPE`` code points of the same row: a candidate
+enters every block that it touches, a complement every block that it or the scope around it touches, so parts of any length meet
+whatever lies near any of their ends. The rows of a part grow with its length, and parts of one pattern don't overlap, so all rows
+of a text grow with its length. A block touches a bounded number of parts, so no pair list grows with the length of a
+text, and keys are single blocks of single rows.
 The parts are written to the shared folder first, so texts are scanned once.
 
 Rows: a null or empty text has no spans (and the digest of the empty string). Each row, repeated or not, is scanned on its own.
@@ -118,16 +120,16 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> Dat
     every = (found.where(F.size("_p.weak") > 0)
              .select("_id", F.explode(F.concat(F.transform("_p.base", lambda s: F.struct(F.lit(False).alias("weak"), s.alias("s"))),
                                                F.transform("_p.weak", lambda s: F.struct(F.lit(True).alias("weak"), s.alias("s"))))).alias("x"))
-             .select("_id", "x.weak", "x.s.*").withColumn("role", role)
-             .withColumn("block", F.floor(F.col("start") / scope)))
-    # a complement enters every block whose candidates it may reach; its own length counts at most one scope
-    reach = F.sequence(F.col("block") - 1, F.floor((F.least("end", F.col("start") + scope) + scope) / scope))
-    others = every.select("_id", F.explode(reach).alias("block"), F.col("start").alias("a"), F.col("end").alias("b"),
-                          F.col("role").alias("other"))
+             .select("_id", "x.weak", "x.s.*").withColumn("role", role))
+    # both sides enter every block that they touch, a complement with the scope around it: what is near shares a block
+    blocks = lambda first, end: F.explode(F.sequence(F.floor(first / scope), F.floor((end - 1) / scope))).alias("block")
+    weak = every.where("weak").select("_id", blocks(F.col("start"), F.col("end")), "start", "ord", "end", "role")
+    others = every.select("_id", blocks(F.col("start") - scope, F.col("end") + scope), F.col("start").alias("a"),
+                          F.col("end").alias("b"), F.col("role").alias("other"))
     needed = F.lit(False)
     for r, roles in NEEDS.items():
         needed = needed | ((F.col("role") == r) & F.col("other").isin(roles))
-    linked = (every.where("weak").alias("w")
+    linked = (weak.alias("w")
               .join(others.withColumnRenamed("_id", "_o").withColumnRenamed("block", "_b").alias("o"),
                     (F.col("_id") == F.col("_o")) & (F.col("block") == F.col("_b"))
                     & (F.col("a") < F.col("end") + scope) & (F.col("start") < F.col("b") + scope) & needed, "left_semi")

@@ -152,6 +152,25 @@ def test_secret_scans(spark):
     assert secret_scans.scan_secrets(docs.limit(0)).collect() == []
 
 
+def test_secret_scans_links_long_parts(spark):
+    texts = ["s3://" + "h" * 695 + " " * 10 + "password=abcdefgh1", "token=" + "a" * 1000 + " user=bob"]
+    for shift in (0, 1, 149, 298, 299, 300, 301):
+        for n in (250, 310, 590, 610, 910, 3000):
+            for gap in (1, 298, 299, 300):
+                texts += [" " * shift + f"s3://{'h' * n}{' ' * gap}password=abcdefgh1", f"{' ' * shift}password={'a' * n}{' ' * gap}user=bob",
+                          f"{' ' * shift}user=bob{' ' * gap}pwd={'!' * n}{' ' * gap}host=db.example.com", f"{' ' * shift}pwd={'!' * n}{' ' * gap}user=bob"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanner, kinds, scope = secret_scans.Scanner(), secret_scans.KINDS, secret_scans.SCOPE
+    role = lambda k: secret_scans.ROLES[kinds[k]]
+    linked = {r.doc_id: r.linked for r in secret_scans.scan_secrets(docs).collect()}
+    assert linked[0] == "endpoint:0:700" and linked[1] == "identifier:1007:1015"
+    for i, text in enumerate(texts):
+        base, weak = scanner.scan(text)
+        want = [f"{kinds[k]}:{a}:{b}" for a, k, b in weak
+                if any(role(o) in secret_scans.NEEDS[role(k)] and c < b + scope and a < d + scope for c, o, d in base + weak)]
+        assert linked[i] == ",".join(want), (i, len(text))
+
+
 def test_secret_scans_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     text = {r.doc_id: r.text for r in docs.collect()}
