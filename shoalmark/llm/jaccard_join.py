@@ -7,7 +7,7 @@ result is one row per document with the size of its set and the smallest doc_id
 1. Documents with equal sets form one class, represented by its smallest doc_id.
 2. Tokens are put in one global order, rare ones first, by a table of ``SKETCH`` counters over all shingles of all texts.
    Linked sets share a token among their first |s| - ceil(t |s|) + 1, whatever that order is, so only these enter the matrix
-   (token, representative); tokens with a single representative are left out of it.
+   (token, representative); tokens with a single doc_id are left out of it.
 3. Similar documents are partitioned into groups around a leader: every member of a token's bucket is compared with the first and
    the last representative of the bucket, which takes one row per member, however large the bucket. Whatever links joins one component.
 4. What is left are buckets whose members lie in several components. They are cut into groups of about ``GROUP``
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import written
-from .common import by_ids, components, read
+from .common import BROADCAST_IDS, by_ids, components, read
 from .registry import query
 from .text import shingles
 
@@ -226,16 +226,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     filled = sets.where("n > 0")
     reps = written(filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "representatives")
 
-    # the matrix, with its tokens of one representative left out
-    cells = filled.where("doc_id IS NOT NULL").select("doc_id", "n", F.explode("first").alias("token"))
+    # the matrix, with its tokens of one id left out; only sets of one id and size need their fingerprints to tell them apart
+    named, key = filled.where("doc_id IS NOT NULL"), ["doc_id", "n"]
+    several = written(named.groupBy(*key).agg(F.min("f1").alias("_a1"), F.max("f1").alias("_z1"), F.min("f2").alias("_a2"), F.max("f2").alias("_z2"))
+                      .where("_a1 < _z1 OR _a2 < _z2").select(*key, F.lit(True).alias("_many")), "several-sets")
+    if (many := several.count()):
+        mark = lambda f: F.when(F.col("_many"), F.col(f)).otherwise(F.lit(0).cast("long"))
+        named = (named.join(F.broadcast(several) if many <= BROADCAST_IDS else several, key, "left")
+                 .withColumns({"m1": mark("f1"), "m2": mark("f2")}))
+        key = [*key, "m1", "m2"]
+    cells = named.select(*key, F.explode("first").alias("token"))
     buckets = (cells.groupBy("token").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))
                .where("_lo < _hi").select("token"))
     hits = cells.join(buckets, "token")
-    of_doc = (filled.where("doc_id IS NOT NULL").select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"])
-              .groupBy("doc_id", "n").agg(F.min("rep").alias("rep")))
-    hits = written(hits.join(of_doc, ["doc_id", "n"]).select("token", "rep", "n").distinct(), "matrix")
+    of_doc = named.select(*key, "f1", "f2").join(reps, ["f1", "f2"]).groupBy(*key).agg(F.min("rep").alias("rep"))
+    hits = written(hits.join(of_doc, key).select("token", "rep", "n").distinct(), "matrix")
     firsts = written(filled.withColumnRenamed("doc_id", "rep").join(hits.select("rep", "n").distinct(), ["rep", "n"])
-                     .dropDuplicates(["rep", "n", "f1"]).select("rep", "n", "first"), "first-tokens")
+                     .dropDuplicates(["rep", "n", "f1", "f2"]).select("rep", "n", "first"), "first-tokens")
 
     # every member of a bucket against its first and its last representative
     ends = (hits.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"))
@@ -257,9 +264,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     # buckets that still hold several components, each set of members once
     placed = hits.join(found.withColumnRenamed("id", "rep"), "rep", "left") \
         .withColumn("component", F.coalesce("component", "rep"))
-    content = F.xxhash64(F.lit(1), "rep").bitwiseAND((1 << 40) - 1), F.xxhash64(F.lit(2), "rep").bitwiseAND((1 << 40) - 1)
-    open_buckets = (placed.join(ends.select("token", F.col("lo.rep").alias("_lo"), F.col("hi.rep").alias("_hi")), "token")
-                    .where("rep <> _lo AND rep <> _hi").groupBy("token")
+    content = [F.xxhash64(F.lit(k), "rep", "n").bitwiseAND((1 << 40) - 1) for k in (1, 2)]
+    open_buckets = (placed.join(ends.select("token", "lo", "hi"), "token")  # another set of the first or last id is not compared yet
+                    .where("NOT (rep = lo.rep AND n = lo.n) AND NOT (rep = hi.rep AND n = hi.n)").groupBy("token")
                     .agg(F.min("component").alias("_c1"), F.max("component").alias("_c2"), F.count("*").alias("n_members"),
                          F.sum(content[0]).alias("_h1"), F.sum(content[1]).alias("_h2"))
                     .where("_c1 < _c2").groupBy("n_members", "_h1", "_h2").agg(F.min("token").alias("token"))

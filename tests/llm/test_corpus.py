@@ -155,6 +155,23 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.jaccard_components(df.limit(0), 4, 85, 100).collect() == []
 
 
+def test_jaccard_texts_of_one_id(spark):
+    """Every text of an id is compared, whatever its sizes and whoever has copies of the id's other texts."""
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    a, b, c = words("a", 40), words("b", 40), words("c", 80)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, " ".join(a)), (7, " ".join(b[:-1] + ["x"]))]
+    # 10 is the first and 19 the last of its bucket with one size each; the longer text of 10 is near 13 alone
+    rows += [(10, " ".join(c[:20])), (10, " ".join(c)), (13, " ".join(c[:-1] + ["y"])), (19, " ".join(c[:20] + ["z"]))]
+    rng = random.Random(4)
+    texts = [t for t in _corpus(rng, 60, 300) if _set(t, 4)]
+    rows += [(100 + rng.randrange(400), t) for t in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 4, 85, 100, sketch=1024).collect()}
+    comp = _jaccard_truth(rows, 4, 85, 100)[1]
+    assert comp[7] == 2 and comp[13] == 10
+    assert got == {(i, comp[i]) for i, _ in rows}
+
+
 def _vectors(rng):
     rows = []
     for k in range(60):
