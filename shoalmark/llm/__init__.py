@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from . import (  # noqa: E402, F401
-    decontamination, embeddings, jaccard_join, line_dedup, packing, quality, secret_scans, token_counts, toxicity,
-    url_filters,
+    chat_format, decontamination, embeddings, hard_negatives, jaccard_join, line_dedup, packing, quality, secret_scans,
+    token_alignment, token_counts, toxicity, url_filters,
 )
 from .registry import LLM_ORACLES, LLM_QUERIES  # noqa: E402, F401
