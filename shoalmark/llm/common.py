@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import written
 
@@ -21,25 +21,30 @@ def fold(key: Column | str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int,
-                    where: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """At most ``per_class`` labelled texts of each class, in the order of a hash of their key.
+                    where: Column, keep: tuple[str, ...] = (), characters: int = 200_000_000) -> DataFrame:
+    """At most ``per_class`` labelled texts of each class, ``characters`` of each class in all, by a hash of their key.
 
     Rows without label, text or key, and texts above ``longest`` characters, teach nothing. Two labels of one key
-    that disagree are left out.
+    that disagree are left out. Of several texts of one key the one with the smallest hash is taken.
     """
     known = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
              .agg(F.min(label).alias("_label"), F.max(label).alias("_other"))
              .where("_label = _other").select("doc_id", "_label"))
     rows = (docs.where(F.col("text").isNotNull() & (F.length("text") <= longest) & where)
-            .select("doc_id", "text", *keep))
-    # the ids of the sample are chosen without moving any text
-    ids = rows.select("doc_id").join(known, "doc_id").distinct()
+            .select("doc_id", "text", *keep, F.xxhash64("text").alias("_hash")))
+    # the texts of the sample are chosen without moving any text
+    ids = (rows.groupBy("doc_id").agg(F.min(F.struct("_hash", F.length("text").alias("n"))).alias("_text")).join(known, "doc_id"))
     chosen = None
     for value in (0, 1):
         part = (ids.where(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
         chosen = part if chosen is None else chosen.unionByName(part)
-    # bounded by 2 * per_class rows of two numbers
-    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *keep, F.col("_label").alias("label"))
+    # 2 * per_class rows of numbers
+    so_far = F.sum("_text.n").over(Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = (chosen.withColumn("_so_far", so_far).where(F.col("_so_far") <= characters)
+              .select("doc_id", F.col("_text._hash").alias("_hash"), "_label"))
+    found = rows.join(F.broadcast(chosen), ["doc_id", "_hash"])
+    rest = F.struct("text", *keep, F.col("_label").alias("label"))
+    return found.groupBy("doc_id").agg(F.min(rest).alias("_row")).select("doc_id", "_row.*")
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
