@@ -33,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ POSTINGS = 2_000_000
 #: Documents of a segment: their numbers take 16 bits.
 SEGMENT_DOCS = 1 << 16
 #: A task's table of aligned chunks is dropped and begun anew beyond this many.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 500_000
 #: Longer chunks are aligned anew each time.
 LONGEST_CHUNK = 100
 #: Characters of text that are worked on at a time.
@@ -112,11 +113,14 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = SentencePieceProcessor(model_proto=model)
         names = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(names.values()) + 1)
+        self.a_bytes = [b""] * (max(names.values()) + 1)  # by id
         for token, i in names.items():
             self.a_bytes[i] = byte_level_bytes(token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [piece_bytes(p) for p in pieces]
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        #: every id followed by each mark that can stand behind it
+        self.marked = [f"{i}{mark}" for i in range(max(len(self.a_bytes), len(pieces))) for mark in ",|;\n"]
         pre = spec.get("pre_tokenizer") or {}
         plain = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                  and not spec.get("normalizer"))
@@ -133,13 +137,10 @@ class Aligner:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.chunks: list[Chunk | None] = []
         self.strings: list[str] = []
-        self.pair_code: dict[int, int] = {}
-        self._sealed = 0
-        # per chunk: n_a, n_b, n_groups, n_links, whether its bytes agree; then its pairs as one run of codes
+        # per chunk: n_a, n_b, n_groups, n_links, whether its bytes agree; then its pairs as one run
         self.counts = np.zeros((0, 5), np.int64)
-        self.starts, self.codes, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def aligned(self, a: list[int], b: list[int], raw: bytes) -> Chunk | None:
         """None if the tokens do not give back the bytes."""
@@ -160,11 +161,59 @@ class Aligner:
                         pairs[x << 32 | y] += n * m
         return Chunk(len(a), len(b), n_groups, n_links, ";".join(text), list(pairs), list(pairs.values()))
 
-    def chunk(self, parts: list[str]) -> list[Chunk | None]:
-        """Align chunks that begin with white space."""
+    def tokens(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of chunks that begin with white space; none of B where the guard is not a piece of its own."""
         a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
         b = self.b.encode(["x" + p for p in parts], num_threads=1)
-        return [self.aligned(x, y[1:] if y[:1] == self.guard else [], p.encode()) for p, x, y in zip(parts, a, b)]
+        return a, [y[1:] if y[:1] == self.guard else [] for y in b]
+
+    def chunk(self, parts: list[str]) -> list[Chunk | None]:
+        return [self.aligned(x, y, p.encode()) for p, x, y in zip(parts, *self.tokens(parts))]
+
+    def many(self, parts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, group strings, pairs per chunk, pairs and their times of many short chunks at once.
+
+        The chunks are laid end to end: ends of tokens are places in one run of bytes, and as chunks end where tokens
+        of both end, no group crosses a border.
+        """
+        raw = [p.encode() for p in parts]
+        a, b = self.tokens(parts)
+        n = len(parts)
+        agree = np.ones(n, bool)
+        if not all(b"".join(map(by.__getitem__, chain.from_iterable(ids))) == b"".join(raw) for ids, by in ((a, self.a_bytes), (b, self.b_bytes))):
+            agree = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw)])
+        at = np.flatnonzero(agree)
+        if len(at) < n:
+            a, b, raw = [a[k] for k in at], [b[k] for k in at], [raw[k] for k in at]
+        n_a, n_b, size = (np.fromiter(map(len, x), np.int64, len(at)) for x in (a, b, raw))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(k.sum())) for x, k in ((a, n_a), (b, n_b)))
+        end_a, end_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
+        cut = end_a[np.isin(end_a, end_b)]
+        group_a, group_b = np.searchsorted(cut, end_a), np.searchsorted(cut, end_b)
+        p, q = np.bincount(group_a, minlength=len(cut)), np.bincount(group_b, minlength=len(cut))
+        first_a, first_b = np.cumsum(p) - p, np.cumsum(q) - q
+        owner = np.searchsorted(np.cumsum(size), cut)
+        counts = np.zeros((n, 5), np.int64)
+        counts[at] = np.stack([n_a, n_b, np.bincount(owner, minlength=len(at)), np.bincount(owner, p * q, len(at)).astype(np.int64), np.ones(len(at), np.int64)], axis=1)
+        # all pairs of a group, then each pair of a chunk once
+        group = np.repeat(np.arange(len(cut)), p * q)
+        inside = np.arange(len(group)) - np.repeat(np.cumsum(p * q) - p * q, p * q)
+        pair = ids_a[first_a[group] + inside // q[group]] << 32 | ids_b[first_b[group] + inside % q[group]]
+        own = at[owner[group]]
+        order = np.lexsort((pair, own))
+        pair, own = pair[order], own[order]
+        start = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (own[1:] != own[:-1]))) if len(pair) else np.zeros(0, np.int64)
+        # ids in the order of the groups' text, each with the mark behind it
+        code = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        i, j = np.arange(len(ids_a)) - first_a[group_a], np.arange(len(ids_b)) - first_b[group_b]
+        ends = np.append(owner[1:] != owner[:-1], True)[:len(cut)]
+        code[first_a[group_a] + first_b[group_a] + i] = ids_a * 4 + (i == p[group_a] - 1)
+        code[first_a[group_b] + first_b[group_b] + p[group_b] + j] = ids_b * 4 + np.where(j == q[group_b] - 1, 2 + ends[group_b], 0)
+        text = "".join(map(self.marked.__getitem__, code.tolist())).split("\n")
+        strings = [""] * n
+        for k, t in zip(at.tolist(), text):
+            strings[k] = t
+        return counts, strings, np.bincount(own[start], minlength=n), pair[start], np.diff(np.append(start, len(pair)))
 
     def whole(self, text: str) -> Chunk | None:
         return self.aligned(self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode())
@@ -173,27 +222,18 @@ class Aligner:
         return self.cut.findall(" " + text)
 
     def learn(self, parts: set[str]) -> None:
-        """Bring new chunks into the table."""
-        new = [p for p in parts if p not in self.number]
-        for i in range(0, len(new), 10_000):
-            some = new[i:i + 10_000]
-            for p, c in zip(some, self.chunk(some)):
-                self.number[p] = len(self.chunks)
-                self.chunks.append(c)
-                self.strings.append(c.groups if c else "")
-        fresh = self.chunks[self._sealed:]
-        if not fresh:
+        """Bring new short chunks into the table."""
+        new = [p for p in parts if p not in self.number and len(p) <= LONGEST_CHUNK]
+        found = [(new[i:i + 20_000], *self.many(new[i:i + 20_000])) for i in range(0, len(new), 20_000)]
+        if not found:
             return
-        empty = Chunk(0, 0, 0, 0, "", [], [])
-        known = [c or empty for c in fresh]
-        code = self.pair_code
-        self.counts = np.concatenate([self.counts, np.array(
-            [(c.n_a, c.n_b, c.n_groups, c.n_links, f is not None) for c, f in zip(known, fresh)], np.int64)])
-        self.codes = np.concatenate([self.codes, np.array([code.setdefault(p, len(code)) for c in known for p in c.pairs], np.int64)])
-        self.times = np.concatenate([self.times, np.array([t for c in known for t in c.times], np.int64)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(c.pairs) for c in known])])
-        self.chunks[self._sealed:] = [None] * len(fresh)  # what counts is in the arrays
-        self._sealed = len(self.chunks)
+        for some, _, strings, _, _, _ in found:
+            self.number.update(zip(some, range(len(self.strings), len(self.strings) + len(some))))
+            self.strings += strings
+        counts, sizes, pairs, times = (np.concatenate([f[k] for f in found]) for k in (1, 3, 4, 5))
+        self.counts = np.concatenate([self.counts, counts])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
 
 
 class _Holder:
@@ -312,31 +352,32 @@ class _Segments:
         if len(al.number) > TABLE_ENTRIES:
             al._forget()
         split = [al.split(t) if t and al.chunked else [] for t in texts]
-        al.learn({c for parts in split for c in parts if len(c) <= LONGEST_CHUNK})
+        al.learn(set().union(*split))
         counts, digests = np.zeros((n, 4), np.int64), [""] * n
         code_doc, code, own = [], [], []  # known chunks per document; (pair, document, times) of the others
         for d, (text, parts) in enumerate(zip(texts, split)):
             if not text:
                 continue
-            long = [k for k, c in enumerate(parts) if len(c) > LONGEST_CHUNK]
-            extra = dict(zip(long, al.chunk([parts[k] for k in long]))) if long else {}
-            codes = np.array([al.number[c] for c in parts if len(c) <= LONGEST_CHUNK], np.int64)
-            if not parts or not al.counts[codes, 4].all() or None in extra.values():
+            codes = list(map(al.number.get, parts))
+            extra = {}
+            if None in codes:  # long chunks are not in the table
+                long = [k for k, c in enumerate(codes) if c is None]
+                extra = dict(zip(long, al.chunk([parts[k] for k in long])))
+            short = np.array([c for c in codes if c is not None] if extra else codes, np.int64)
+            if not parts or not al.counts[short, 4].all() or None in extra.values():
                 one = al.whole(text)  # the whole text decides whether its bytes come back
                 if one is None:
                     continue
-                extra, codes, strings = {0: one}, np.zeros(0, np.int64), [one.groups]
-            elif extra:
-                strings = [extra[k].groups if k in extra else al.strings[al.number[c]] for k, c in enumerate(parts)]
+                extra, short, strings = {0: one}, np.zeros(0, np.int64), [one.groups]
             else:
-                strings = [al.strings[k] for k in codes.tolist()]
+                strings = [extra[k].groups if c is None else al.strings[c] for k, c in enumerate(codes)] if extra else map(al.strings.__getitem__, codes)
             digests[d] = hashlib.sha256(";".join(strings).encode()).hexdigest()
-            counts[d] = al.counts[codes, :4].sum(axis=0)
+            counts[d] = al.counts[short, :4].sum(axis=0)
             for c in extra.values():
                 counts[d] += (c.n_a, c.n_b, c.n_groups, c.n_links)
                 own.append((np.array(c.pairs, np.int64), np.full(len(c.pairs), d), np.array(c.times, np.int64)))
-            code_doc.append(np.full(len(codes), d))
-            code.append(codes)
+            code_doc.append(np.full(len(short), d))
+            code.append(short)
         self._post(n, code_doc, code, own)
         yield self._batch(n, doc_id=ids, doc=pa.array(np.arange(self.n_docs, self.n_docs + n, dtype=np.int32)),
                           groups_sha256=pa.array(digests, pa.string()), **{c: pa.array(counts[:, k].copy()) for k, c in enumerate(_DOC)})
@@ -348,12 +389,11 @@ class _Segments:
         pair, doc, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if code:
             d, c = np.concatenate(code_doc), np.concatenate(code)
-            key, often = np.unique(d * (len(al.chunks) + 1) + c, return_counts=True)
-            d, c = np.divmod(key, len(al.chunks) + 1)
+            key, often = np.unique(d * (len(al.strings) + 1) + c, return_counts=True)
+            d, c = np.divmod(key, len(al.strings) + 1)
             size = al.starts[c + 1] - al.starts[c]
             at = np.repeat(al.starts[c] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-            names = np.fromiter(al.pair_code, np.int64, len(al.pair_code))
-            pair.append(names[al.codes[at]])
+            pair.append(al.pairs[at])
             doc.append(np.repeat(d, size))
             times.append(al.times[at] * np.repeat(often, size))
         for p, d, t in own:
