@@ -90,4 +90,6 @@ def fit_gls_ar1(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     fit = LinearFit(response, cols, every, cov, sigma2, n, rss, centers, aliased=frozenset(range(p)) - frozenset(kept))
     fit.beta[0] += centers[response]
     fit.extra = {"phi": phi, "reml": float(reml(phi)), "aic": float(-2 * ml + 2 * (rank + 2))}
+    fit.n_correlations, fit.deviance = 1, float(-2 * ml)
+    fit.deviance_reml = float((n - rank) * (np.log(2 * np.pi * sigma2) + 1) + logdet + np.linalg.slogdet(xx)[1])
     return fit

@@ -8,10 +8,13 @@ cells is not limited: everything is a chain of aggregates whose global figures a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
+from .linear import fixed_part
+from .mixed import MixedFit, RandomTerm, fit_mixed
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -75,3 +78,60 @@ def predict_field(grid: DataFrame, fit: DataFrame, cell: Sequence[str], time: st
            .join(fit.select(*cell, time, F.col("time_effect").alias("_t")), [*cell, time], "left"))
     est = mu + F.coalesce("_c", F.lit(0.0)) + F.coalesce("_t", F.lit(0.0))
     return out.withColumn("est", est).drop("_c", "_t")
+
+
+# ---- with covariates --------------------------------------------------------------------------
+
+@dataclass
+class CovariateField:
+    """Fixed covariates, a random effect per cell and one per cell and time nested in it."""
+    fit: MixedFit
+    cell: tuple[str, ...]
+    time: str
+    seen: DataFrame
+
+    def estimates(self, spark: SparkSession) -> DataFrame:
+        """Fixed coefficients and the three variances."""
+        rows = [("fixed", t, b, se) for t, (b, se) in self.fit.fixed.items()]
+        rows += [("variance", name, float(self.fit.covariances[g][0, 0]), None) for name, g in (("cell", _CELL), ("cell by time", _CELL_TIME))]
+        rows.append(("variance", "residual", self.fit.residual, None))
+        return spark.createDataFrame(rows, "kind string, term string, estimate double, std_error double")
+
+    def _effects(self, df: DataFrame, cell_name: str, time_name: str) -> DataFrame:
+        for group, name in ((_CELL, cell_name), (_CELL_TIME, time_name)):
+            own = self.fit.levels[group].select(F.col("level").alias(group), F.get("u", F.lit(0)).alias(name))
+            df = df.join(own, group, "left")
+        return df
+
+    def effects(self) -> DataFrame:
+        """Both effects of every cell and time that was fitted."""
+        return self._effects(self.seen, "cell_effect", "time_effect").drop(_CELL, _CELL_TIME)
+
+    def predict(self, grid: DataFrame, name: str = "est") -> DataFrame:
+        """Predictions on a grid with the covariates; effects of unseen cells and times are 0."""
+        out = self._effects(_keyed(grid, self.cell, self.time), "_c", "_t")
+        fixed = fixed_part(self.fit.columns, self.fit.beta)
+        value = fixed + F.coalesce("_c", F.lit(0.0)) + F.coalesce("_t", F.lit(0.0))
+        return out.withColumn(name, value).drop(_CELL, _CELL_TIME, "_c", "_t")
+
+
+_CELL, _CELL_TIME = "_cell", "_cell_time"
+
+
+def _keyed(df: DataFrame, cell: Sequence[str], time: str) -> DataFrame:
+    """Text keys of a cell and of a cell at a time; a missing part makes a key that no cell has."""
+    key = F.to_json(F.struct(*cell))
+    return df.withColumns({_CELL: key, _CELL_TIME: F.to_json(F.struct(*cell, time))})
+
+
+def fit_covariate_field(df: DataFrame, cell: Sequence[str], time: str, value: str, terms: Sequence[tuple[str, ...]],
+                        levels: dict[str, list] | None = None, **how) -> CovariateField:
+    """Field with covariates by restricted likelihood, for any number of cells.
+
+    ``terms`` and ``levels`` are as in :func:`fit_mixed`; polynomials of a depth are columns of their own. The rows are
+    reduced to products per cell and time; cells and cell-times stay on the cluster when there are many of them.
+    """
+    rows = _keyed(df.dropna(subset=[*cell, time]), cell, time)
+    fit = fit_mixed(rows, value, terms, (RandomTerm(_CELL), RandomTerm(_CELL_TIME)), levels, **how)
+    seen = cut_lineage(rows.select(*cell, time, _CELL, _CELL_TIME).distinct())
+    return CovariateField(fit, tuple(cell), time, seen)

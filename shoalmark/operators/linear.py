@@ -41,6 +41,21 @@ class DesignColumn:
         return base
 
 
+def fixed_part(cols: Sequence[DesignColumn], beta: np.ndarray, centers: dict[str, float] | None = None) -> Column:
+    """Design columns times coefficients."""
+    return reduce(lambda a, b: a + b, [F.lit(float(b)) * c.expr(centers) for b, c in zip(beta, cols)])
+
+
+def quadratic_form(x: Column, cov: np.ndarray) -> Column:
+    """x' cov x of an array column, as a sum of squares, so rounding cannot make it negative."""
+    w, v = np.linalg.eigh(cov)
+    root = (v * np.sqrt(np.clip(w, 0, None))).T       # cov = root' root
+    rows = F.array(*[F.array(*[F.lit(float(c)) for c in r]) for r in root])
+    dots = F.transform(rows, lambda row: F.aggregate(
+        F.zip_with(row, x, lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z))
+    return F.aggregate(dots, F.lit(0.0), lambda s, z: s + z * z)
+
+
 def crossed(*names: str) -> list[tuple[str, ...]]:
     """All main effects and interactions, as ``a*b*c`` in a formula."""
     return [c for k in range(1, len(names) + 1) for c in combinations(names, k)]
@@ -150,6 +165,22 @@ class LinearFit:
     centers: dict[str, float]
     extra: dict[str, float] = field(default_factory=dict)
     aliased: frozenset[int] = frozenset()   # columns without an estimate
+    n_correlations: int = 0
+    deviance: float = float("nan")          # -2 log likelihood
+    deviance_reml: float = float("nan")
+
+    @property
+    def n_parameters(self) -> int:
+        """Estimated coefficients, correlations and the error variance."""
+        return len(self.columns) - len(self.aliased) + self.n_correlations + 1
+
+    @property
+    def log_lik(self) -> float:
+        return -self.deviance / 2
+
+    @property
+    def log_lik_reml(self) -> float:
+        return -self.deviance_reml / 2
 
     def _uncentered(self) -> np.ndarray:
         """Map from coefficients of centered columns to those of the columns as given."""
@@ -170,8 +201,7 @@ class LinearFit:
         return spark.createDataFrame(rows, "term string, estimate double, std_error double, lwr double, upr double")
 
     def fitted(self) -> Column:
-        parts = [F.lit(float(b)) * c.expr(self.centers) for b, c in zip(self.beta, self.columns)]
-        return reduce(lambda a, b: a + b, parts)
+        return fixed_part(self.columns, self.beta, self.centers)
 
     def predict(self, df: DataFrame, name: str = "estimate", residual: str | None = None) -> DataFrame:
         """Fitted values as one projection; optionally the residual in units of sigma."""
@@ -182,15 +212,9 @@ class LinearFit:
 
     def predict_interval(self, df: DataFrame, name: str = "estimate") -> DataFrame:
         """Fitted values with standard error and 95 % interval of the mean."""
-        w, v = np.linalg.eigh(self.cov)
-        root = (v * np.sqrt(np.clip(w, 0, None))).T       # cov = root' root
-        lit = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in root])
         x = F.array(*[c.expr(self.centers) for c in self.columns])
-        dots = F.transform("_root", lambda row: F.aggregate(
-            F.zip_with(row, F.col("_x"), lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z))
-        se = F.sqrt(F.aggregate(dots, F.lit(0.0), lambda s, z: s + z * z))
-        out = (df.withColumn(name, self.fitted()).withColumns({"_x": x, "_root": lit})
-               .withColumn("std_error", se).drop("_x", "_root"))
+        out = df.withColumn(name, self.fitted()).withColumn("_x", x)
+        out = out.withColumn("std_error", F.sqrt(quadratic_form(F.col("_x"), self.cov))).drop("_x")
         return out.withColumns({"lwr": F.col(name) - Z95 * F.col("std_error"),
                                 "upr": F.col(name) + Z95 * F.col("std_error")})
 
@@ -229,6 +253,8 @@ def fit_ols(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
                     aliased=frozenset(range(p)) - frozenset(kept))
     fit.beta[0] += centers[response]      # the response was centered too
     fit.extra = {"r2": 1 - rss / yy, "aic": n * np.log(2 * np.pi * rss / n) + n + 2 * (rank + 1)}
+    fit.deviance = float(n * (np.log(2 * np.pi * rss / n) + 1))
+    fit.deviance_reml = float((n - rank) * (np.log(2 * np.pi * sigma2) + 1) + np.linalg.slogdet(xx[np.ix_(kept, kept)])[1])
     return fit
 
 

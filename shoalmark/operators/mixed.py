@@ -5,7 +5,8 @@ columns are formed inside those few rows and summed; at most (columns)^2 numbers
 
 With many random levels the largest term stays on the cluster: one row per level holds its products, each round sums what the
 levels contribute to the equations of the other columns and to the variances, and only those sums reach the driver. The
-estimates are the same either way.
+estimates are the same either way. If several terms are large, all levels stay on the cluster and the equations are solved by
+conjugate gradients (:mod:`crossed`). The rounds are accelerated (:class:`Accelerated`), so few are needed.
 """
 
 from __future__ import annotations
@@ -19,10 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, written
-from .linear import DesignColumn, design
+from ..functions.fixed_values import Z95
+from .linear import DesignColumn, design, fixed_part, quadratic_form
 
-#: Columns of the equations that the driver solves; beyond it the largest random term is eliminated on the cluster.
+#: Columns of the equations that the driver solves; beyond it the largest random term is eliminated on the cluster, and if
+#: that is not enough, every random level stays there.
 MAX_LEVELS = 2_000
+#: Share of the residual variance at which a variance that goes on falling is taken for 0.
+ZERO = 1e-6
 #: Numbers a task holds at a time when it works on levels.
 _CHUNK = 2_000_000
 
@@ -79,15 +84,45 @@ def cross_products(df: DataFrame, response: str, fixed: Sequence[DesignColumn],
 
 @dataclass
 class MixedFit:
-    fixed: dict[str, tuple[float, float]]
+    response: str
+    columns: list[DesignColumn]
+    beta: np.ndarray
+    #: covariance of the fixed coefficients
+    cov: np.ndarray
     covariances: dict[str, np.ndarray]
     residual: float
-    effects: dict[str, dict[str, np.ndarray]]
     random: tuple[RandomTerm, ...]
     iterations: int
     n: int
-    #: group and (level, u: its effects) of the term that stayed on the cluster, if any
-    absorbed: tuple[str, DataFrame] | None = None
+    #: -2 log likelihood, without and with restriction; their standard error where determinants are estimated by probes
+    deviance: float
+    deviance_reml: float
+    deviance_error: float
+    #: group -> levels with effects ``u``, prediction-error covariance ``pev`` and covariance with the fixed coefficients
+    #: ``cov`` (both as rows, in units of the residual variance); null where they are not known
+    levels: dict[str, DataFrame]
+
+    @property
+    def fixed(self) -> dict[str, tuple[float, float]]:
+        se = np.sqrt(np.clip(np.diag(self.cov), 0, None))
+        return {c.name: (float(b), float(e)) for c, b, e in zip(self.columns, self.beta, se)}
+
+    @property
+    def effects(self) -> dict[str, dict[str, np.ndarray]]:
+        """All effects on the driver; meant for small groupings."""
+        return {g: {r["level"]: np.array(r["u"]) for r in t.select("level", "u").collect()} for g, t in self.levels.items()}
+
+    @property
+    def n_parameters(self) -> int:
+        return len(self.beta) + 1 + sum((1 + len(t.slopes)) * (2 + len(t.slopes)) // 2 for t in self.random)
+
+    @property
+    def log_lik(self) -> float:
+        return -self.deviance / 2
+
+    @property
+    def log_lik_reml(self) -> float:
+        return -self.deviance_reml / 2
 
     def table(self, spark: SparkSession) -> DataFrame:
         """All estimates: fixed coefficients, variance components and predicted effects."""
@@ -97,21 +132,134 @@ class MixedFit:
             g = self.covariances[t.group]
             rows += [("variance", t.group, a if a == b else f"{a},{b}", float(g[i, j]), None)
                      for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-            rows += [("effect", f"{t.group}={lv}", a, float(u[i]), None)
-                     for lv, u in self.effects.get(t.group, {}).items() for i, a in enumerate(names)]
         rows.append(("variance", "residual", "", self.residual, None))
         out = spark.createDataFrame(
             rows, "kind string, term string, part string, estimate double, std_error double")
-        if self.absorbed is None:
-            return out
-        group, found = self.absorbed
-        slopes = next(t.slopes for t in self.random if t.group == group)
-        names = F.array(*[F.lit(a) for a in ("(Intercept)", *slopes)])
-        return out.unionByName(
-            found.select(F.lit("effect").alias("kind"), F.concat(F.lit(f"{group}="), "level").alias("term"),
-                         F.posexplode("u").alias("_k", "estimate"))
-            .select("kind", "term", F.get(names, F.col("_k")).alias("part"), "estimate",
-                    F.lit(None).cast("double").alias("std_error")))
+        for t in self.random:
+            names = F.array(*[F.lit(a) for a in ("(Intercept)", *t.slopes)])
+            out = out.unionByName(
+                self.levels[t.group].select(
+                    F.lit("effect").alias("kind"), F.concat(F.lit(f"{t.group}="), "level").alias("term"),
+                    F.posexplode("u").alias("_k", "estimate"))
+                .select("kind", "term", F.get(names, F.col("_k")).alias("part"), "estimate",
+                        F.lit(None).cast("double").alias("std_error")))
+        return out
+
+    def _with_levels(self, df: DataFrame, group: str, *what: str) -> DataFrame:
+        """The effects of a row's level as columns ``_u_<group>`` and so on, by a join; NULL for an unseen level."""
+        own = self.levels[group].select(F.col("level").alias("_level"), *[F.col(w).alias(f"_{w}_{group}") for w in what])
+        return df.join(own, F.col(group).cast("string") == F.col("_level"), "left").drop("_level")
+
+    def predict(self, df: DataFrame, name: str = "estimate", population: str | None = None, residual: str | None = None) -> DataFrame:
+        """Fitted values with the effects of the row's own levels; those of unseen levels are 0.
+
+        Optionally the population value without any effects, and the residual in units of its standard deviation.
+        """
+        base = fixed_part(self.columns, self.beta)
+        out, value = df, base
+        for t in self.random:
+            out = self._with_levels(out, t.group, "u")
+            own = F.col(f"_u_{t.group}")
+            for k, c in enumerate((None, *t.slopes)):
+                part = F.get(own, F.lit(k))
+                value = value + F.coalesce(part if c is None else part * F.col(c).cast("double"), F.lit(0.0))
+        out = out.withColumn(name, value)
+        if population:
+            out = out.withColumn(population, base)
+        if residual:
+            out = out.withColumn(residual, (F.col(self.response) - F.col(name)) / float(np.sqrt(self.residual)))
+        return out.drop(*[f"_u_{t.group}" for t in self.random])
+
+    def predict_interval(self, df: DataFrame, group: str | None = None, name: str = "estimate") -> DataFrame:
+        """Estimate, standard error and 95 % interval of the mean, for the population or for the row's level of ``group``
+        (the other random terms at 0). An unseen level has effect 0 and the whole variance of its term."""
+        x = F.array(*[c.expr() for c in self.columns])
+        out = df.withColumn("_x", x)
+        value, variance = fixed_part(self.columns, self.beta), quadratic_form(F.col("_x"), self.cov)
+        if group is not None:
+            t = next(t for t in self.random if t.group == group)
+            if self.levels[group].where("pev IS NULL").limit(1).count():
+                raise ValueError("several large terms: error variances of single levels are not known")
+            out = self._with_levels(out, group, "u", "pev", "cov")
+            z = [F.lit(1.0), *[F.col(c).cast("double") for c in t.slopes]]
+            d, p, s2 = len(z), len(self.columns), self.residual
+            u, pev, cov = (F.col(f"_{w}_{group}") for w in ("u", "pev", "cov"))
+            value = value + F.coalesce(sum((F.get(u, F.lit(k)) * z[k] for k in range(d)), F.lit(0.0)), F.lit(0.0))
+            known = sum((F.get(pev, F.lit(i * d + j)) * z[i] * z[j] for i in range(d) for j in range(d)), F.lit(0.0))
+            dot = lambda k: F.aggregate(
+                F.zip_with(F.slice(cov, k * p + 1, p), F.col("_x"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+            known = known + 2 * sum((dot(k) * z[k] for k in range(d)), F.lit(0.0))
+            prior = sum((F.lit(float(self.covariances[group][i, j])) * z[i] * z[j] for i in range(d) for j in range(d)), F.lit(0.0))
+            variance = variance + F.when(pev.isNull(), prior).otherwise(s2 * known)
+        out = out.withColumns({name: value, "std_error": F.sqrt(F.greatest(variance, F.lit(0.0)))})
+        out = out.drop("_x", *([f"_{w}_{group}" for w in ("u", "pev", "cov")] if group else []))
+        return out.withColumns({"lwr": F.col(name) - Z95 * F.col("std_error"), "upr": F.col(name) + Z95 * F.col("std_error")})
+
+
+# ---- rounds -----------------------------------------------------------------------------------
+
+@dataclass
+class Round:
+    """What one solution of the equations says at given variances."""
+
+    beta: np.ndarray
+    inverse: np.ndarray           # block of the fixed columns in the inverse of the equations
+    second: list[np.ndarray]      # per term, mean expected squares of the effects: the next variances
+    explained: float              # solution times right-hand side
+    logdet: float                 # of the equations
+    logdet_error: float = 0.0
+
+
+class Accelerated:
+    """Anderson mixing of the rounds, on the logarithms of variances and Cholesky factors.
+
+    A round maps variances to better ones; the next ones are the mixture of the last few results whose steps
+    cancel best. A step that grew falls back to the plain result. Numbers that are held (variances at 0) take no part.
+    """
+
+    def __init__(self):
+        self.at, self.to, self.last, self.held = [], [], np.inf, None
+
+    @staticmethod
+    def flat(s2: float, mats: Sequence[np.ndarray]) -> np.ndarray:
+        out = [np.log(s2)]
+        for g in mats:
+            c = np.linalg.cholesky(g + np.eye(len(g)) * 1e-14 * max(np.trace(g), 1e-300))
+            out += [np.log(max(c[i, i], 1e-150)) if i == j else c[i, j] / c[j, j] for i in range(len(c)) for j in range(i + 1)]
+        return np.array(out)
+
+    @staticmethod
+    def shaped(flat: np.ndarray, sizes: Sequence[int]) -> tuple[float, list[np.ndarray]]:
+        at, mats = 1, []
+        for d in sizes:
+            c = np.zeros((d, d))
+            for i in range(d):
+                for j in range(i + 1):
+                    c[i, j] = np.exp(flat[at]) if i == j else flat[at]
+                    at += 1
+            for j in range(d):
+                c[j + 1:, j] *= c[j, j]
+            mats.append(c @ c.T)
+        return float(np.exp(flat[0])), mats
+
+    def next(self, at: np.ndarray, to: np.ndarray, held: np.ndarray) -> np.ndarray:
+        out, free = np.where(held, at, to), ~held
+        at, to = at[free], to[free]
+        size = float(np.abs(to - at).max())
+        if size > 2 * self.last or self.held is None or (self.held != held).any():
+            self.at, self.to = [], []
+        self.last, self.held = size, held
+        depth = min(5, len(at) + 1)  # more steps than numbers would contradict each other
+        self.at, self.to = [*self.at, at][-depth:], [*self.to, to][-depth:]
+        if len(self.at) > 1:
+            steps = np.array([t - a for a, t in zip(self.at, self.to)])
+            weight, *_ = np.linalg.lstsq((steps[1:] - steps[:-1]).T, to - at, rcond=1e-8)
+            mixed = to - np.diff(np.array(self.to), axis=0).T @ weight
+            out[free] = np.clip(mixed, np.minimum(at, to) - 1, np.maximum(at, to) + 1)
+        return out
+
+
+LEVELS = "level string, u array<double>, pev array<double>, cov array<double>"
 
 
 # ---- the term that stays on the cluster -----------------------------------------------------
@@ -214,23 +362,125 @@ class AbsorbedTerm:
         out = self._sum(kernel, d + 1)
         return out[:d, :d] / out[0, d], float(out[d, d])
 
-    def effects(self, penalty: np.ndarray, sol: np.ndarray) -> DataFrame:
+    def logdet(self, penalty: np.ndarray) -> float:
+        """Log determinant of the levels' own equations."""
+        rest, d = self.q + 1, self.d
+
+        def kernel(_, x):
+            out = np.zeros((1, 1))
+            out[0, 0] = np.linalg.slogdet(x[:, :, rest:rest + d] + penalty)[1].sum()
+            return out
+        return float(self._sum(kernel, 1)[0, 0])
+
+    def effects(self, penalty: np.ndarray, sol: np.ndarray, inv: np.ndarray, p: int) -> DataFrame:
+        """Effects of each level, their error covariance, and that with the first p columns."""
         solved, q = self._solved(penalty), self.q
 
         def kernel(levels, x):
-            _, _, mb = solved(x)
-            return pa.RecordBatch.from_arrays([levels, pa.array((mb[:, :, q] - mb[:, :, :q] @ sol).tolist(), pa.list_(pa.float64()))], ["level", "u"])
-        return written(_over_levels(self.blocks, self.d, q + 1 + self.d, "level string, u array<double>", kernel), "effects")
+            m, _, mb = solved(x)
+            u = mb[:, :, q] - mb[:, :, :q] @ sol
+            pev = m + (mb[:, :, :q] @ inv) @ mb[:, :, :q].transpose(0, 2, 1)
+            cov = -(mb[:, :, :q] @ inv[:, :p])
+            lists = [pa.array(v.reshape(len(u), -1).tolist(), pa.list_(pa.float64())) for v in (u, pev, cov)]
+            return pa.RecordBatch.from_arrays([levels, *lists], ["level", "u", "pev", "cov"])
+        return written(_over_levels(self.blocks, self.d, q + 1 + self.d, LEVELS, kernel), "effects")
+
+
+class DriverSystem:
+    """Equations whose columns the driver solves, less those of at most one term that stays on the cluster."""
+
+    def __init__(self, prods: DataFrame, fixed: Sequence[DesignColumn], random: Sequence[RandomTerm], big: int | None):
+        self.random, self.big = list(random), big
+        small = [t for k, t in enumerate(random) if k != big]
+        rest = prods if big is None else prods.where(
+            _part(F.col("i"), random[big]).isNull() & _part(F.col("j"), random[big]).isNull())
+        value = {(x["i"], x["j"]): x["v"] for x in rest.collect()}
+        value.update({(j, i): v for (i, j), v in list(value.items())})
+        names = {i for i, _ in value}
+        fx = [f"fixed {c.name}" for c in fixed]
+        self.keys: list[list[str]] = []
+        order, at = list(fx), len(fx)
+        self.spans: list[list[np.ndarray]] = []
+        for t in small:
+            prefix = f"{t.group}="
+            levels = sorted(s[len(prefix):] for s in names if s.startswith(prefix))
+            order += [c for x in levels for c in (f"{t.group}={x}", *[f"{t.group}:{s}={x}" for s in t.slopes])]
+            d = 1 + len(t.slopes)
+            self.keys.append(levels)
+            self.spans.append([np.arange(at + i * d, at + (i + 1) * d) for i in range(len(levels))])
+            at += d * len(levels)
+        self.p = len(fx)
+        self.c0 = np.zeros((len(order), len(order)))
+        place = {c: k for k, c in enumerate(order)}
+        for (i, j), v in value.items():
+            if i in place and j in place:
+                self.c0[place[i], place[j]] = v
+        self.rhs = np.array([value.get((a, "response"), 0.0) for a in order])
+        self.yy = value[("response", "response")]
+        self.n = int(round(value[("fixed (Intercept)", "fixed (Intercept)")]))
+        self.absorbed = None if big is None else AbsorbedTerm(prods, random[big], order)
+
+    def _small(self) -> list[int]:
+        return [k for k in range(len(self.random)) if k != self.big]
+
+    def round(self, s2: float, mats: list[np.ndarray], last: bool = False) -> Round:
+        lhs, right, logdet = self.c0.copy(), self.rhs, 0.0
+        for k, blocks in zip(self._small(), self.spans):
+            pen = s2 * np.linalg.inv(mats[k])
+            for b in blocks:
+                lhs[np.ix_(b, b)] += pen
+        if self.absorbed:
+            penalty = s2 * np.linalg.inv(mats[self.big])
+            taken = self.absorbed.schur(penalty)
+            lhs, right = lhs - taken[:-1, :-1], self.rhs - taken[:-1, -1]
+            logdet = self.absorbed.logdet(penalty) if last else 0.0
+        inv = np.linalg.inv(lhs)
+        sol = inv @ right
+        explained = float(sol @ self.rhs)
+        second: list[np.ndarray | None] = [None] * len(self.random)
+        for k, blocks in zip(self._small(), self.spans):
+            acc = sum(np.outer(sol[b], sol[b]) + inv[np.ix_(b, b)] * s2 for b in blocks)
+            second[k] = acc / len(blocks)
+        if self.absorbed:
+            second[self.big], share = self.absorbed.moments(penalty, sol, inv, s2)
+            explained += share
+        if last:
+            logdet += float(np.linalg.slogdet(lhs)[1])
+            self.solution = (inv, sol, penalty if self.absorbed else None)
+        return Round(sol[:self.p], inv[:self.p, :self.p], second, explained, logdet)
+
+    def levels(self, spark: SparkSession) -> dict[str, DataFrame]:
+        inv, sol, penalty = self.solution
+        out = {}
+        for k, keys, blocks in zip(self._small(), self.keys, self.spans):
+            rows = [(key, sol[b].tolist(), inv[np.ix_(b, b)].ravel().tolist(), inv[b, :self.p].ravel().tolist())
+                    for key, b in zip(keys, blocks)]  # at most MAX_LEVELS rows
+            out[self.random[k].group] = spark.createDataFrame(rows, LEVELS)
+        if self.absorbed:
+            out[self.random[self.big].group] = self.absorbed.effects(penalty, sol, inv, self.p)
+        return out
+
+    def n_effects(self) -> list[int]:
+        counts = [0] * len(self.random)
+        for k, blocks in zip(self._small(), self.spans):
+            counts[k] = len(blocks)
+        if self.absorbed:
+            counts[self.big] = self.absorbed.blocks.count()
+        return counts
 
 
 def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
               random: Sequence[RandomTerm], levels: dict[str, list] | None = None,
-              max_iter: int = 500, tol: float = 1e-7) -> MixedFit:
-    """EM-REML. ``levels`` gives the sorted levels of the fixed factors; a row with another level is an error.
+              max_iter: int = 500, tol: float = 1e-9, max_levels: int | None = None, probes: int = 16) -> MixedFit:
+    """REML by accelerated EM. ``levels`` gives the sorted levels of the fixed factors; a row with another level is an error.
 
-    Crossed random terms are allowed. The term with most levels may have any number of them; the levels of the
-    others are limited together, because their equations are solved on the driver.
+    Crossed random terms may have any number of levels: up to ``max_levels`` columns are solved on the driver; beyond that the
+    largest term is eliminated on the cluster, and if the others are still too many, the equations of all levels are
+    solved there by conjugate gradients, with ``probes`` random vectors for the variances.
     """
+    from .crossed import CrossedSystem
+
+    limit = MAX_LEVELS if max_levels is None else max_levels
     fixed = design(terms, levels or {})
     for f, known in (levels or {}).items():  # an unlisted level would silently count as the reference
         told = F.concat(F.lit(f"{f}: not among the given levels: "), F.col(f).cast("string"))
@@ -238,71 +488,38 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     prods = cut_lineage(cross_products(df, response, fixed, random))
     diagonal = prods.where("i = j")
     sizes = diagonal.agg(*[F.count(_part(F.col("i"), t)).alias(f"_{k}") for k, t in enumerate(random)]).first() if random else []
-    big = max(range(len(random)), key=lambda k: sizes[k]) if sum(sizes) > MAX_LEVELS else None
-    small = [t for k, t in enumerate(random) if k != big]
-    if big is not None and sum(sizes) - sizes[big] > MAX_LEVELS:
-        raise ValueError(f"{sum(sizes) - sizes[big]} effects beside the largest random term: use the shrinkage estimator for large groupings")
-    if big is not None:
-        rest = prods.where(_part(F.col("i"), random[big]).isNull() & _part(F.col("j"), random[big]).isNull())
-    rows = (prods if big is None else rest).collect()
-    value = {(x["i"], x["j"]): x["v"] for x in rows}
-    value.update({(j, i): v for (i, j), v in list(value.items())})
-    names = {i for i, _ in value}
-    fx = [f"fixed {c.name}" for c in fixed]
-    groups = []
-    for t in small:
-        prefix = f"{t.group}="
-        lv = sorted(s[len(prefix):] for s in names if s.startswith(prefix))
-        groups.append([[f"{t.group}={x}"] + [f"{t.group}:{s}={x}" for s in t.slopes] for x in lv])
-    order = fx + [c for g in groups for b in g for c in b]
-    p = len(fx)
-    c0 = np.array([[value.get((a, b), 0.0) for b in order] for a in order])
-    rhs = np.array([value.get((a, "response"), 0.0) for a in order])
-    yy = value[("response", "response")]
-    n = int(round(value[("fixed (Intercept)", "fixed (Intercept)")]))
+    big = max(range(len(random)), key=lambda k: sizes[k]) if sum(sizes) > limit else None
+    crossed = big is not None and sum(sizes) - sizes[big] > limit
+    system = CrossedSystem(prods, fixed, random, probes) if crossed else DriverSystem(prods, fixed, random, big)
+    p, n, yy = len(fixed), system.n, system.yy
+    dims = [1 + len(t.slopes) for t in random]
     s2 = max(yy / n, 1e-12)
-    g_mats = [np.eye(1 + len(t.slopes)) * s2 / 10 for t in small]
-    absorbed = None if big is None else AbsorbedTerm(prods, random[big], order)
-    if absorbed:
-        g_mats.append(np.eye(absorbed.d) * s2 / 10)
-    spans, at = [], p
-    for g, t in zip(groups, small):
-        d = 1 + len(t.slopes)
-        spans.append([np.arange(at + i * d, at + (i + 1) * d) for i in range(len(g))])
-        at += d * len(g)
+    mats = [np.eye(d) * s2 / 10 for d in dims]
+    mixing = Accelerated()
     for it in range(1, max_iter + 1):
-        lhs, right = c0.copy(), rhs
-        for g_mat, blocks in zip(g_mats, spans):
-            pen = s2 * np.linalg.inv(g_mat)
-            for b in blocks:
-                lhs[np.ix_(b, b)] += pen
-        if absorbed:
-            penalty = s2 * np.linalg.inv(g_mats[-1])
-            taken = absorbed.schur(penalty)
-            lhs, right = lhs - taken[:-1, :-1], rhs - taken[:-1, -1]
-        inv = np.linalg.inv(lhs)
-        sol = inv @ right
-        explained = sol @ rhs
-        new_g = []
-        for blocks in spans:
-            acc = sum(np.outer(sol[b], sol[b]) + inv[np.ix_(b, b)] * s2 for b in blocks)
-            new_g.append(acc / len(blocks) + np.eye(len(blocks[0])) * 1e-14)
-        if absorbed:
-            mean, share = absorbed.moments(penalty, sol, inv, s2)
-            new_g.append(mean + np.eye(absorbed.d) * 1e-14)
-            explained += share
-        new_s2 = float((yy - explained) / (n - p))
-        move = max([abs(new_s2 - s2)] + [np.abs(a - b).max() for a, b in zip(new_g, g_mats)])
-        s2, g_mats = new_s2, new_g
-        if move < tol * max(s2, 1e-12):
+        now = system.round(s2, mats)
+        new_s2 = float((yy - now.explained) / (n - p))
+        # a single variance that falls below this share of the residual one, and would fall on, counts as 0
+        still = [len(g) == 1 and g[0, 0] <= ZERO * s2 * 1.01 and b[0, 0] <= g[0, 0] for g, b in zip(mats, now.second)]
+        new = [g if hold else (np.maximum(b, ZERO * s2) if len(g) == 1 else b + np.eye(len(g)) * 1e-14)
+               for g, b, hold in zip(mats, now.second, still)]
+        # a variance near 0 has settled when it moves little beside the residual one
+        move = max([abs(new_s2 / s2 - 1)] + [np.abs(a - b).max() / max(s2, np.abs(b).max()) for a, b in zip(new, mats)])
+        if move < tol or not random:
+            s2, mats = new_s2, new
             break
+        held = np.concatenate([[False], *[np.full(d * (d + 1) // 2, hold) for d, hold in zip(dims, still)]])
+        s2, mats = Accelerated.shaped(mixing.next(Accelerated.flat(s2, mats), Accelerated.flat(new_s2, new), held), dims)
+        mats = [np.maximum(g, ZERO * s2) if len(g) == 1 else g for g in mats]
     else:
-        raise RuntimeError(f"no convergence in {max_iter} rounds: the last step moved a variance by {move:.3g}")
-    se = np.sqrt(np.clip(np.diag(inv)[:p] * s2, 0, None))
-    held = [*small, *([random[big]] if absorbed else [])]
-    return MixedFit(
-        {f[len("fixed "):]: (float(b), float(e)) for f, b, e in zip(fx, sol[:p], se)},
-        {t.group: g for t, g in zip(held, g_mats)}, s2,
-        {t.group: {g[i][0].split("=", 1)[1]: sol[b] for i, b in enumerate(blocks)}
-         for t, g, blocks in zip(small, groups, spans)}, tuple(random), it, n,
-        (random[big].group, absorbed.effects(penalty, sol)) if absorbed else None)
+        raise RuntimeError(f"no convergence in {max_iter} rounds: the last step moved a variance by a share of {move:.3g}")
+    last = system.round(s2, mats, last=True)
+    # log determinants of the covariance of the response, by those of the equations
+    counts = system.n_effects()
+    effects = sum(c * d for c, d in zip(counts, dims))
+    inside = sum(c * np.linalg.slogdet(g)[1] for c, g in zip(counts, mats)) + last.logdet
+    misfit = (yy - last.explained) / s2
+    ml = n * np.log(2 * np.pi) + (n - effects) * np.log(s2) + inside + np.linalg.slogdet(last.inverse)[1] + misfit
+    reml = (n - p) * np.log(2 * np.pi) + (n - p - effects) * np.log(s2) + inside + misfit
+    return MixedFit(response, fixed, last.beta, last.inverse * s2, {t.group: g for t, g in zip(random, mats)}, s2, tuple(random),
+                    it, n, float(ml), float(reml), last.logdet_error, system.levels(df.sparkSession))
