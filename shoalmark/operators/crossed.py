@@ -83,6 +83,7 @@ class CrossedSystem:
             raise RuntimeError("two levels share a number")
         self.counts = [counts.get(k, 0) for k in range(len(random))]
         self.state: DataFrame | None = None
+        self.precision = TOLERANCE  # the fit asks for less in its first rounds
         self.steps = 0
 
     # ---- kernels ----------------------------------------------------------------------------
@@ -186,7 +187,7 @@ class CrossedSystem:
         rz, scale = sums.reshape(2, r)
         coefficients = []
         for _ in range(MAX_STEPS):
-            live = rz > TOLERANCE ** 2 * scale
+            live = rz > self.precision ** 2 * scale
             if not live.any():
                 return state, coefficients
             table, sums = self._run(self._across(state, "d"), step, "cg-step")

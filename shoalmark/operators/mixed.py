@@ -495,8 +495,9 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     dims = [1 + len(t.slopes) for t in random]
     s2 = max(yy / n, 1e-12)
     mats = [np.eye(d) * s2 / 10 for d in dims]
-    mixing = Accelerated()
+    mixing, move = Accelerated(), 1.0
     for it in range(1, max_iter + 1):
+        system.precision = min(1e-3, max(0.01 * move, 1e-8))
         now = system.round(s2, mats)
         new_s2 = float((yy - now.explained) / (n - p))
         # a single variance that falls below this share of the residual one, and would fall on, counts as 0
@@ -513,6 +514,7 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
         mats = [np.maximum(g, ZERO * s2) if len(g) == 1 else g for g in mats]
     else:
         raise RuntimeError(f"no convergence in {max_iter} rounds: the last step moved a variance by a share of {move:.3g}")
+    system.precision = 1e-8
     last = system.round(s2, mats, last=True)
     # log determinants of the covariance of the response, by those of the equations
     counts = system.n_effects()

@@ -1,5 +1,6 @@
 """Plans and skew."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shoalmark.catalog import QUERIES
@@ -55,3 +56,52 @@ def test_first_per_key_reduces_before_the_shuffle(spark):
     out = O.first_per_key(df, ["k"], ["v"])
     plan = plan_of(out)
     assert "Window" not in plan and "partial_min_by" in plan and out.first().v == 0
+
+
+# ---- one series that holds all rows -----------------------------------------------------------
+
+def _largest_tasks(spark, df):
+    """Rows of the largest last task, with small partitions left apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_long_series_previous(spark):
+    n = 40_000
+    df = spark.range(n).select(F.lit("a").alias("s"), (F.col("id") * 3).alias("t"), (F.col("id") % 17).cast("double").alias("y"))
+    df = df.unionByName(spark.createDataFrame([(None, 5, 1.0), (None, 9, 2.0), ("b", 1, 7.0)], "s string, t long, y double"))
+    out = S.previous(df, ["s"], "t", ["y"], longest=1000)
+    assert _largest_tasks(spark, out) < n / 4
+    want = S.previous(df, ["s"], "t", ["y"])
+    key = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    assert out.columns == want.columns and key(out) == key(want)
+
+
+def test_one_long_series_recursion(spark):
+    n, phi = 30_000, 0.9
+    df = spark.range(n).select(F.lit(1).alias("r"), F.col("id").alias("t"), ((F.col("id") * 7919) % 13).cast("double").alias("m"), F.lit(2.5).alias("x0"))
+    df = df.unionByName(spark.createDataFrame([(2, k, None if k == 3 else 1.0, 4.0) for k in range(300)], "r int, t long, m double, x0 double"))
+    out = S.ar1_recursion(df, "r", "t", "m", "x0", phi, block=16)  # several levels
+    got = {(r.r, r.t): r.x_hat for r in out.collect()}
+    x = 2.5
+    for t in range(n):
+        x = x if t == 0 else phi * x + (t * 7919) % 13
+        assert abs(got[1, t] - x) < 1e-9
+    assert [got[2, k] for k in range(3)] == pytest.approx([4.0, 4.6, 5.14]) and all(got[2, k] is None for k in range(3, 300))
+    assert _largest_tasks(spark, out) < n / 4
+
+
+def test_one_long_series_rolling(spark):
+    n = 20_000
+    df = spark.range(n).where("id % 5 <> 3").select(F.lit("a").alias("g"), F.col("id").cast("int").alias("t"), (F.col("id") % 11).cast("double").alias("y"))
+    out = S.rolling_mean(df, ["g"], "t", "y")
+    assert "Window" not in plan_of(out)
+    got = {r.t: r.trend for r in out.collect()}
+    have = {t: t % 11 for t in range(n) if t % 5 != 3}
+    assert set(got) == set(have)
+    for t in (0, 1, 2, 4, 999, n - 1):
+        own = [have[k] for k in range(t - 2, t + 3) if k in have]
+        assert got[t] == pytest.approx(sum(own) / len(own))
