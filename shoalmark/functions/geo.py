@@ -47,23 +47,31 @@ def valid_lonlat(lon: Column | str, lat: Column | str) -> Column:
     return _c(lon).between(-180.0, 180.0) & _c(lat).between(-90.0, 90.0)
 
 
-def _crosses(px: Column, py: Column, e: Column) -> Column:
-    """Does the ray from the point to the right cross the edge?"""
-    dy = F.nullif(e["y2"] - e["y1"], F.lit(0.0))
-    at = e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (py - e["y1"]), dy)
-    return F.coalesce(((e["y1"] > py) != (e["y2"] > py)) & (px < at), F.lit(False))
-
-
 def _on_edge(px: Column, py: Column, e: Column) -> Column:
     cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
     return ((cross == 0) & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
             & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
 
-def inside(px: Column, py: Column, edges: Column) -> Column:
-    """Even-odd rule over an array of edges; the boundary counts as inside."""
-    odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != _crosses(px, py, e))
-    return odd | F.exists(edges, lambda e: _on_edge(px, py, e))
+def inside_cell(px: Column, py: Column, edges: Column, odd: Column, right: Column, bottom: Column) -> Column:
+    """Is a point of a grid cell inside, given the edges through the cell and whether its lower right corner is?
+
+    The way to the corner goes right to the border and then down; an edge that it crosses changes sides. An edge
+    on the right border belongs to the next cell, one on the lower border to this cell, as in the corner's own count:
+    the way goes a little left of the border, and much less above the position and above the corner. So an edge that meets
+    the way down exactly at one of its ends is crossed or not by its slope.
+    """
+    def crossed(e):
+        dx, dy = F.nullif(e["x2"] - e["x1"], F.lit(0.0)), F.nullif(e["y2"] - e["y1"], F.lit(0.0))
+        at = e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (py - e["y1"]), dy)
+        across = F.coalesce(((e["y1"] > py) != (e["y2"] > py)) & (px < at) & (at < right), F.lit(False))
+        height = e["y1"] + F.try_divide((e["y2"] - e["y1"]) * (right - e["x1"]), dx)
+        slope = (e["x2"] - e["x1"]) * (e["y2"] - e["y1"])
+        on_way = (((height > bottom) | ((height == bottom) & (slope < 0))) & ((height < py) | ((height == py) & (slope >= 0))))
+        down = F.coalesce(((e["x1"] >= right) != (e["x2"] >= right)) & on_way, F.lit(False))
+        return across != down
+    within = F.aggregate(edges, odd, lambda acc, e: acc != crossed(e))
+    return within | F.exists(edges, lambda e: _on_edge(px, py, e))
 
 
 def _side(ax, ay, bx, by, px, py) -> Column:

@@ -1,7 +1,9 @@
 """Joining positions to areas and working on grids.
 
 Polygons are edge tables (poly_id, ring, seq, x1, y1, x2, y2). For a join they are cut into grid
-cells; a cell keeps, per polygon, only the edges a ray to the right from inside that cell can meet.
+cells; a cell keeps, per polygon, the edges that pass through it and whether its lower right corner lies inside. The way
+from a position to that corner stays in the cell, so its crossings with these edges settle the position. Cells are made
+smaller until none holds many edges, so no row grows with a polygon.
 A position then needs a single equi-join on its cell, and no shuffle of the positions as long as the
 cell table is small enough to be broadcast, which is decided on its written size.
 """
@@ -15,6 +17,8 @@ from ..functions.fixed_values import CELL_KM
 from ..session import written
 
 EDGE = ("x1", "y1", "x2", "y2")
+#: Edges of a polygon that a cell may hold before cells are made smaller.
+EDGES_PER_CELL = 256
 
 
 def rings_to_edges(rings: DataFrame, ids=("poly_id", "ring"), points: str = "pts") -> DataFrame:
@@ -42,19 +46,56 @@ def _cell(c, size):
     return F.floor(c / F.lit(size))
 
 
-def polygon_cells(edges: DataFrame, cell: float) -> DataFrame:
-    """(cx, cy, poly_id, edges): the cells a polygon can cover, each with the edges that matter there.
+def _edge_cells(edges: DataFrame, cell: float) -> DataFrame:
+    """One row per edge and cell that it passes through: the columns it touches in each of its rows.
 
-    Written out, so that later joins know its size.
+    A little is added on both sides against rounding; an edge too many in a cell changes nothing.
     """
+    x1, y1, x2, y2 = (F.col(c) for c in EDGE)
+    rows = edges.withColumn("cy", F.explode(F.sequence(_cell(F.least(y1, y2), cell), _cell(F.greatest(y1, y2), cell))))
+    at = lambda y: x1 + F.try_divide((x2 - x1) * (y - y1), y2 - y1)
+    low = F.greatest(F.least(y1, y2), F.col("cy") * F.lit(cell))
+    high = F.least(F.greatest(y1, y2), (F.col("cy") + 1) * F.lit(cell))
+    a, b = F.coalesce(at(low), x1), F.coalesce(at(high), x2)
+    slack = F.lit(cell * 1e-6)
+    left = F.greatest(F.least(a, b) - slack, F.least(x1, x2))
+    right = F.least(F.greatest(a, b) + slack, F.greatest(x1, x2))
+    return rows.withColumn("cx", F.explode(F.sequence(_cell(F.least(left, right), cell), _cell(F.greatest(left, right), cell))))
+
+
+def _corner_parity(edges: DataFrame, cell: float) -> DataFrame:
+    """(cx, cy, poly_id, odd): cells whose lower right corner has an odd number of edges to its right.
+
+    An edge meets the lines between rows that it spans; meetings in one cell of a line are reduced to their parity before
+    each of them is carried to the cells on its left.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in EDGE)
     box = edges.groupBy("poly_id").agg(F.min(F.least("x1", "x2")).alias("_left"))
-    lo_y, hi_y = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = (edges.join(box, "poly_id")
-            .withColumn("cy", F.explode(F.sequence(_cell(lo_y, cell), _cell(hi_y, cell))))
-            .withColumn("cx", F.explode(F.sequence(
-                _cell(F.col("_left"), cell), _cell(F.greatest("x1", "x2"), cell)))))
-    per = rows.groupBy("cx", "cy", "poly_id").agg(F.collect_list(F.struct(*EDGE)).alias("edges"))
-    return written(per, "polygon_cells")
+    first, last = F.ceil(F.least(y1, y2) / cell), F.ceil(F.greatest(y1, y2) / cell) - 1
+    met = (edges.where(last >= first).withColumn("cy", F.explode(F.sequence(first, last)))
+           .withColumn("_at", x1 + (x2 - x1) * (F.col("cy") * F.lit(cell) - y1) / (y2 - y1)))
+    odd = (met.groupBy("poly_id", "cy", _cell(F.col("_at"), cell).alias("_c")).agg(F.count("*").alias("_n"))
+           .where("_n % 2 = 1").join(box, "poly_id"))
+    reach = odd.withColumn("_first", _cell(F.col("_left"), cell)).where("_c - 1 >= _first")
+    return (reach.withColumn("cx", F.explode(F.sequence(F.col("_first"), F.col("_c") - 1)))
+            .groupBy("cx", "cy", "poly_id").agg((F.count("*") % 2 == 1).alias("odd")))
+
+
+def polygon_cells(edges: DataFrame, cell: float, most: int = EDGES_PER_CELL) -> tuple[DataFrame, float]:
+    """(cx, cy, poly_id, edges, odd) of the cells that a polygon covers or touches, and the size of the cells.
+
+    Written out, so that later joins know its size. Cells are halved until none holds more than ``most`` edges of a polygon, or
+    until that does not help (edges that meet in one point).
+    """
+    before = None
+    while True:
+        through = _edge_cells(edges, cell).select("cx", "cy", "poly_id", F.struct(*EDGE).alias("e"), F.lit(False).alias("odd"))
+        corners = _corner_parity(edges, cell).select("cx", "cy", "poly_id", F.lit(None).cast(through.schema["e"].dataType).alias("e"), "odd")
+        count = through.groupBy("cx", "cy", "poly_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if count <= most or count == before:
+            per = through.unionByName(corners).groupBy("cx", "cy", "poly_id").agg(F.collect_list("e").alias("edges"), F.bool_or("odd").alias("odd"))
+            return written(per.where("odd OR size(edges) > 0"), "polygon_cells"), cell
+        cell, before = cell / 2, count
 
 
 def _binned(points: DataFrame, lon: str, lat: str, cell: float) -> DataFrame:
@@ -67,13 +108,13 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, lon: str, lat: str, ce
 
     ``left`` keeps points outside every polygon with NULL; a point on a shared border gets one row
     per polygon. One equi-join on the grid cell, with the geometry in its condition, serves any number
-    of polygons per cell: nothing of a cell is gathered.
+    of polygons per cell.
     """
-    cells = polygon_cells(edges, cell)
-    c = cells.select("cx", "cy", F.col("poly_id").alias(name), F.col("edges").alias("_edges"))
+    cells, cell = polygon_cells(edges, cell)
+    c = cells.select("cx", "cy", F.col("poly_id").alias(name), F.col("edges").alias("_edges"), F.col("odd").alias("_odd"))
     near = _binned(points, lon, lat, cell)
     within = ((F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy"))
-              & geo.inside(F.col(lon), F.col(lat), F.col("_edges")))
+              & geo.inside_cell(F.col(lon), F.col(lat), F.col("_edges"), F.col("_odd"), (F.col("cx") + 1) * F.lit(cell), F.col("cy") * F.lit(cell)))
     kept = [x for x in points.columns if x != name]
     near = near.select(*kept, "_cx", "_cy")
     return near.join(c, within, how).select(*kept, name)
@@ -86,9 +127,7 @@ def polygon_overlap(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:
     lies inside the other, found by placing one vertex of each ring.
     """
     def binned(df, p):
-        x1, y1, x2, y2 = (F.col(c) for c in EDGE)
-        return (df.withColumn("cx", F.explode(F.sequence(_cell(F.least(x1, x2), cell), _cell(F.greatest(x1, x2), cell))))
-                .withColumn("cy", F.explode(F.sequence(_cell(F.least(y1, y2), cell), _cell(F.greatest(y1, y2), cell))))
+        return (_edge_cells(df, cell)
                 .select("cx", "cy", F.col("poly_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in EDGE]))
 
     def seg(p):
