@@ -3,10 +3,10 @@
 A test item may occur in a document with up to ``RATE`` of its length in edit errors. Split into one piece more than
 that budget, an occurrence must hold at least one piece unchanged. A task finds all pieces of all items in one pass over each
 whole text (an Aho-Corasick automaton), takes every hit as a place where the item may lie, and verifies the place by Myers'
-bit-parallel edit distance. Hits of one item that imply the same place within the budget are verified once.
+bit-parallel edit distance. Hits of one item that imply the same start as one of its last eight are verified once.
 
 Texts and items are compared in lower case with white space runs as one space; reported places are code points of the
-text itself. Items are taken in blocks of at most ``BLOCK_CHARS`` characters; each block is broadcast and meets all
+text itself. Item ids keep their type. Items are taken in blocks of at most ``BLOCK_CHARS`` characters; each block is broadcast and meets all
 documents, so neither memory nor recall depends on the size of the benchmark.
 
 Rows: null and empty texts hold nothing. Items with null id or text, or shorter than ``SHORTEST`` characters after
@@ -31,7 +31,6 @@ from .registry import query
 RATE = 0.05
 SHORTEST = 20
 BLOCK_CHARS = 4_000_000
-_LEAK = "array<struct<item_id:long,start:long,end:long,distance:long>>"
 
 
 def lowered(text: str) -> str:
@@ -149,7 +148,7 @@ class Matcher:
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``block_chars`` characters; only one block is on the driver at a time."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-2 * int(total) // block_chars) if total > block_chars else 1)
     for b in range(n):
@@ -158,11 +157,11 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
         yield sorted({(i, t) for i, t in block if len(t) >= SHORTEST})
 
 
-def with_leaks(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", rate: float = RATE) -> DataFrame:
+def with_leaks(docs: DataFrame, items: list[tuple], text: str = "text", rate: float = RATE, id_type: str = "bigint") -> DataFrame:
     """Adds the leaks of one block of items: an array of item_id, start, end and distance."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
-    @F.pandas_udf(_LEAK)
+    @F.pandas_udf(f"array<struct<item_id:{id_type},start:long,end:long,distance:long>>")
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(shared.value, rate)
         for batch in batches:
@@ -171,12 +170,16 @@ def with_leaks(docs: DataFrame, items: list[tuple[int, str]], text: str = "text"
     return docs.withColumn("leaks", leaks(F.col(text)))
 
 
+def _id_type(benchmark: DataFrame) -> str:
+    return benchmark.schema["item_id"].dataType.simpleString()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",), rate: float = RATE,
                block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item found in it: keys, item_id, start, end, distance."""
     out = None
     for items in _blocks(benchmark, block_chars):
-        part = (with_leaks(docs.select(*keys, "text"), items, rate=rate).where(F.size("leaks") > 0)
+        part = (with_leaks(docs.select(*keys, "text"), items, rate=rate, id_type=_id_type(benchmark)).where(F.size("leaks") > 0)
                 .select(*keys, F.explode("leaks").alias("_l")).select(*keys, "_l.*"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -187,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
     kept = docs.columns
     for n, items in enumerate(_blocks(benchmark, block_chars)):
         docs = written(docs, "decontaminated") if n else docs
-        docs = with_leaks(docs, items, rate=rate).where(F.size("leaks") == 0).select(*kept)
+        docs = with_leaks(docs, items, rate=rate, id_type=_id_type(benchmark)).where(F.size("leaks") == 0).select(*kept)
     return docs
 
 

@@ -34,7 +34,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
+from ..operators.ordering import with_row_id
 from ..session import written
 from .common import BROADCAST_IDS, by_ids, components, read
 from .registry import query
@@ -221,7 +223,16 @@ def _group_candidates(members: DataFrame, num: int, den: int, group: int = GROUP
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, text: str = "text",
                        sketch: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; links are shingle sets with Jaccard of num / den or more."""
+    """doc_id, n_shingles and component_id of every row; links are shingle sets with Jaccard of num / den or more.
+
+    Ids that are not whole numbers are numbered in their order and come back at the end."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        codes = written(with_row_id(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), ["doc_id"], "code"), "codes")
+        coded = docs.select("doc_id", text).join(codes, "doc_id", "left").select(F.col("code").alias("doc_id"), text)
+        found = jaccard_components(coded, width, num, den, text, sketch)
+        own, of = (codes.select(F.col("doc_id").alias(n), F.col("code").alias(f"_{n}")) for n in ("doc_id", "component_id"))
+        return (found.withColumnsRenamed({"doc_id": "_doc_id", "component_id": "_component_id"}).join(own, "_doc_id", "left")
+                .join(of, "_component_id", "left").select("doc_id", "n_shingles", "component_id"))
     sets = written(token_sets(docs, text, width, num, den, count_tokens(docs, text, width, sketch)), "token-sets")
     filled = sets.where("n > 0")
     reps = written(filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "representatives")
@@ -247,6 +258,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     # every member of a bucket against its first and its last representative
     ends = (hits.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"))
             .where("lo.rep < hi.rep"))
+    ends = written(ends, "bucket-ends")  # a table of its own, so that the join below can split a hot token
     met = hits.join(ends, "token")
     fits = lambda end: _sizes_fit(F.col("n"), F.col(f"{end}.n"), num, den)
     pairs = (met.where(fits("lo")).select(F.col("lo.rep").alias("a"), F.col("rep").alias("b"))
@@ -290,16 +302,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
 def one_per_group(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One document of each group of linked ones: the one with the smallest doc_id.
 
-    Of several rows with that id one stays. Rows without doc_id can't be named by a group and stay.
+    Where ids repeat or lack, every row is a document of its own: rows are numbered by doc_id (null last) and text, and the
+    first of a group stays. So unrelated texts of one id all stay, and copies without an id are removed.
     """
-    found = written(jaccard_components(docs, width, num, den), "groups")
-    rest = by_ids(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    rest = rest.select(*docs.columns)
-    several = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if several.isEmpty():
-        return rest
-    once = by_ids(rest, several, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return by_ids(rest, several, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    size = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if size.n == size.ids:
+        found = written(jaccard_components(docs, width, num, den), "groups")
+        later = found.where("doc_id <> component_id").select("doc_id").distinct()
+        return by_ids(docs, later, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    numbered = written(with_row_id(docs.select(row, F.col("doc_id").alias("_id"), "text"), [F.col("_id").asc_nulls_last(), "text"], "_no"), "numbered")
+    found = written(jaccard_components(numbered.select(F.col("_no").alias("doc_id"), "text"), width, num, den), "groups")
+    later = found.where("doc_id <> component_id").select("doc_id")
+    return by_ids(numbered, later, "_no", "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 @query("op9_jaccard_join")

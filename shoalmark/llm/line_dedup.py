@@ -7,18 +7,21 @@ that order, so the first occurrence of a line is never lost. Windows of nothing
 
 The first occurrence of a window is a plain minimum, reduced within each task before the shuffle, so a window that a
 third of all rows share is one row per task. The windows then meet the repeated ones in an equi-join, where adaptive
-execution splits hot windows; nothing is gathered but the removed line numbers of one document.
+execution splits hot windows; nothing is gathered but the removed line numbers of one document. Only texts that lose a
+line are moved: the others are told apart by a short table of keys.
 
 Rows: a null or empty text has one empty line (null stays null). Texts of fewer than three lines have no window and
 stay as they are. Repeated rows (same doc_id and text) count as one document and are treated alike; rows with one
-doc_id and different texts are documents of their own. Existing columns n_lines and n_removed are replaced.
+doc_id and different texts are documents of their own. Existing columns n_lines and n_removed are replaced; other columns
+keep their values, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read
+from ..session import written
+from .common import by_ids, read
 from .registry import query
 
 WIDTH = 3
@@ -52,20 +55,26 @@ def dedup_lines(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Data
     repeated = (found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
                 .where("first < last").drop("last"))
     later = found.join(repeated, ["h1", "h2"]).where("place > first")
-    removed = (later.groupBy(F.col("place.id").alias("_id"), F.col("place.hash").alias("_of"))
-               .agg(F.collect_set("place.line").alias("_starts")))
-    rows = docs.withColumn("_hash", F.xxhash64(text))
-    joined = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
+    key = lambda i, h: F.xxhash64(F.col(i).isNull(), i, h)  # noqa: E731  equal keys of different texts only cost a join
+    removed = written(later.groupBy(F.col("place.id").alias("_id"), F.col("place.hash").alias("_of"))
+                      .agg(F.collect_set("place.line").alias("_starts")).withColumn("_key", key("_id", "_of")), "removed-lines")
+    row = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = (docs.select(row, F.col("doc_id").alias("_doc"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+            .withColumn("_key", key("_doc", "_hash")))
+    keys = removed.select("_key").distinct()
+    whole = by_ids(rows, keys, "_key", "left_anti").withColumn("_starts", F.lit(None).cast("array<int>"))
+    cut = by_ids(rows, keys, "_key", "left_semi").join(
+        removed.drop("_key"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
     covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + width - 1))))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    out = (joined.withColumn("_lines", _lines(F.col(text)))
-           .withColumn("_kept", F.when(F.col("_starts").isNotNull(), F.array_except(every, covered)))
-           .withColumn("n_lines", F.size("_lines").cast("long"))
-           .withColumn("n_removed", F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long"))
-           .withColumn(text, F.when(F.col("_kept").isNotNull(),
-                                    F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
-                       .otherwise(F.col(text))))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    out = (cut.select("_row", "_text", "_starts").unionByName(whole.select("_row", "_text", "_starts"))
+           .withColumn("_lines", _lines(F.col("_text")))
+           .withColumn("_kept", F.when(F.col("_starts").isNotNull(), F.array_except(every, covered))))
+    left = F.when(F.col("_kept").isNotNull(), F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")).otherwise(F.col("_text"))
+    return out.select(
+        *[(left if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 SQL = """

@@ -61,15 +61,15 @@ class Scanner:
         self.base = [("hex", re.compile(rf"[0-9a-f]{{{n},}}"), g, n) if kind == "hex"
                      else (kind, re.compile(p, re.ASCII), g, n) for kind, p, g, n in BASE]
         self.weak = [
-            ("identifier", re.compile(r"(?i:\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id))"
+            ("identifier", re.compile(r"(?i:(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id))"
                                       r"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", re.ASCII)),
-            ("secret", re.compile(r"(?i:\b(?:pwd|pass(?:word|wd)?|secret|token|api_?key|private_?key|client_?secret|access_?key))"
+            ("secret", re.compile(r"(?i:(?<![A-Za-z0-9])(?:pwd|pass(?:word|wd)?|secret|token|api_?key|private_?key|client_?secret|access_?key))"
                                   r"[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{4,}", re.ASCII)),
-            ("endpoint", re.compile(r"\b[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{3,}|(?i:\b(?:host(?:name)?|server|endpoint))"
+            ("endpoint", re.compile(r"\b[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{3,}|(?i:(?<![A-Za-z0-9])(?:host(?:name)?|server|endpoint))"
                                     r"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}", re.ASCII)),
         ]
-        self.random = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[a-z0-9+/_-]{0,40}[A-Z])(?=[A-Z0-9+/_-]{0,40}[a-z])"
-                                 r"[A-Za-z0-9+/_-]{24,}")
+        self.random = re.compile(r"[A-Za-z0-9+/_-]{24,}")
+        self.classes = [re.compile(c) for c in ("[0-9]", "[A-Z]", "[a-z]")]
 
     def scan(self, text: str | None) -> tuple[list, list]:
         base, weak = [], []
@@ -91,7 +91,8 @@ class Scanner:
                 weak += [(m.start(), order, m.end()) for m in pattern.finditer(text) if m.start() not in starts]
         order = KINDS.index("secret")
         for m in self.random.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, _, b in base):
+            mixed = all(c.search(text, m.start(), m.end()) for c in self.classes)
+            if mixed and not any(a < m.end() and m.start() < b for a, _, b in base):
                 weak.append((m.start(), order, m.end()))
         return sorted(base), sorted(set(weak))
 

@@ -66,11 +66,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
              .withColumn("_prefix", F.explode_outer(prefixes))
              .withColumn("_digest_url", F.sha2(F.concat("_suffix", F.lit("\n"), "_prefix"), 256))
              .withColumn("_short_url", F.substring("_digest_url", 1, SHORT))
-             .join(hashed, (F.col("_short_url") == F.col("_short")) & (F.col("_digest_url") == F.col("_digest")), "left"))
+             .join(hashed, F.col("_short_url") == F.col("_short"), "left"))
     best = F.struct(F.col("_order"), F.col("_rhost"), F.col("_rpath"), F.col("_verdict"))
     judged = found.groupBy("_id").agg(F.first("_row").alias("_row"), F.first("_host").alias("host"),
                                       F.first("_path").alias("path"),
-                                      F.max(F.when(F.col("_digest").isNotNull(), best)).alias("_best"))
+                                      F.max(F.when(F.col("_digest") == F.col("_digest_url"), best)).alias("_best"))  # the full digest confirms
     return judged.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], "host", "path",
                          F.concat("_best._rhost", "_best._rpath").alias("rule"),
                          F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
