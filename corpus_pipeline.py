@@ -11,6 +11,8 @@ All stages but the last return the columns of documents; n_chars follows the tex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoalmark.llm import decontamination, jaccard_join, line_dedup, packing, quality
@@ -18,18 +20,28 @@ from shoalmark.llm.common import read
 from shoalmark.session import written
 
 
+def _apart(docs: DataFrame, taken: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a stage that adds the columns ``taken`` while columns of documents with these names are set aside."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c in taken}
+    out = stage(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs, read(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    return _apart(docs, ("score", "predicted"), lambda d: quality.score_quality(d, model).where("predicted = 1"))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
-    changed = F.col("n_removed") > 0
-    out = out.where(~changed | (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) > 0))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    def stage(d: DataFrame) -> DataFrame:
+        out = line_dedup.dedup_lines(d)
+        changed = F.col("n_removed") > 0
+        out = out.where(~changed | (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) > 0))
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        return out
+
+    return _apart(docs, ("n_lines", "n_removed"), stage)
 
 
 def groups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +49,7 @@ def groups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return _apart(docs, ("leaks",), lambda d: decontamination.decontaminate(d, read(spark, sf_dir, "benchmark")))
 
 
 def packs_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
