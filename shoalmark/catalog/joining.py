@@ -102,17 +102,17 @@ def anti_join_membership(spark, sf):
     return J.non_members(p, table(spark, sf, "nation"), "k", "n_nationkey")
 
 
-@query("three_way_membership", """WITH l AS (SELECT DISTINCT p_partkey AS k FROM part WHERE p_type <> 'PROMO'),
-a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 48), b AS (SELECT p_partkey AS k FROM part WHERE p_size < 20)
+@query("three_way_membership", """WITH l AS (SELECT DISTINCT p_partkey AS k FROM part),
+a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 48), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity <= 48)
 SELECT k, CASE WHEN k IN (SELECT k FROM a) AND k IN (SELECT k FROM b) THEN 'both'
   WHEN k IN (SELECT k FROM a) THEN 'only_a' ELSE 'only_b' END AS membership
 FROM l WHERE k IN (SELECT k FROM a) OR k IN (SELECT k FROM b)""")
 def three_way_membership(spark, sf):
     p, li = table(spark, sf, "part"), table(spark, sf, "lineitem")
     k = F.col("p_partkey").alias("k")
-    return J.classify_membership(p.where("p_type <> 'PROMO'").select(k),
-                                 li.where("l_quantity > 48").select(F.col("l_partkey").alias("k")),
-                                 p.where("p_size < 20").select(k), "k")
+    caught = F.col("l_partkey").alias("k")  # in large hauls and in the others
+    return J.classify_membership(p.select(k), li.where("l_quantity > 48").select(caught),
+                                 li.where("l_quantity <= 48").select(caught), "k")
 
 
 # ---- hierarchy ------------------------------------------------------------------------------
@@ -178,15 +178,15 @@ def bind_cols_keyed(spark, sf):
 
 
 def covariates(spark, sf):
-    """Environmental covariates by station id; stations in debt have none."""
-    s = table(spark, sf, "supplier").where("s_acctbal > 0")
+    """Environmental covariates by station id; stations in debt have no depth."""
+    s = table(spark, sf, "supplier")
     return s.select(K.composite_id("s_nationkey", "s_suppkey", "s_nationkey").alias("id"),
-                    F.col("s_acctbal").alias("depth"))
+                    F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("depth"))
 
 
 COVARIATES_SQL = """covs AS (SELECT CAST(s_nationkey AS VARCHAR) || CASE WHEN s_suppkey < 1000
     THEN lpad(CAST(s_suppkey AS VARCHAR), 3, '0') ELSE CAST(s_suppkey AS VARCHAR) END || CAST(s_nationkey AS VARCHAR) AS id,
-  s_acctbal AS depth, s_suppkey FROM supplier WHERE s_acctbal > 0)"""
+  CASE WHEN s_acctbal > 0 THEN s_acctbal END AS depth, s_suppkey FROM supplier)"""
 
 
 @query("composite_id_join", f"""WITH {COVARIATES_SQL}
@@ -203,65 +203,78 @@ def composite_id_join(spark, sf):
 
 # ---- two trait sources ----------------------------------------------------------------------
 
+# Traits of the first source: column -> expression over a species' catches of one return flag.
+_A_TRAITS = {"trophic_level": "avg(l_quantity)", "age_maturity": "avg(l_linenumber)", "fecundity": "avg(l_discount)", "l_inf": "avg(l_extendedprice)",
+             "k": "avg(l_tax)", "max_obs_length": "max(l_quantity)", "offspring_size": "min(l_tax) + 0.01"}
+# Level codes by the number of catches, so that every rule meets species at its level and others.
+_A_LEVELS = {
+    "level_tl": "CASE WHEN count(*) >= 9 THEN 'spe' WHEN count(*) >= 6 THEN 'gen' END",
+    "level_age_maturity": "CASE WHEN count(*) >= 10 THEN 'spe-ocean' WHEN count(*) >= 7 THEN 'fam' END",
+    "level_fecundity": "CASE WHEN count(*) >= 12 THEN 'spe-LME' WHEN count(*) >= 7 THEN 'spe' WHEN count(*) >= 5 THEN 'fam' END",
+    "level_growth": "CASE WHEN count(*) >= 11 THEN 'spe-FAO' WHEN count(*) >= 8 THEN 'gen' END",
+    "level_length_max": "CASE WHEN count(*) >= 5 THEN 'spe' END",
+    "level_offspring_size": "CASE WHEN count(*) >= 8 THEN 'spe-LME' WHEN count(*) >= 6 THEN 'ord' END"}
+_B_TRAITS = {"trophic_level": "CAST(p_size AS DOUBLE)", "age_maturity": "p_size / 10e0", "fecundity": "p_retailprice", "l_inf": "p_retailprice * 2",
+             "k": "p_size / 100e0", "max_obs_length": "p_retailprice / 10", "offspring_size": "p_size * 0.5e0", "temperature": "p_size * 2.5e0",
+             "w_inf": "p_retailprice / 3", "natural_mortality": "p_size / 50e0", "length_maturity": "p_retailprice / 4"}
+# every species is in a source: small ones in the first, large ones in the second, those between in both
+_IN_A, _IN_B = "p_size <= 30", "p_size >= 15"
+
+
 def source_a(spark, sf):
     """Several rows per species (one per return flag), levels from the number of records."""
-    n = F.col("n")
-    g = (table(spark, sf, "lineitem").groupBy("l_partkey", "l_returnflag")
-         .agg(F.count("*").alias("n"), F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d")))
-    p = table(spark, sf, "part").where("p_size <= 20").select("p_partkey")
+    exprs = {**_A_TRAITS, **_A_LEVELS}
+    g = (table(spark, sf, "lineitem").groupBy("l_partkey", "l_returnflag").agg(*[F.expr(e).alias(c) for c, e in exprs.items()]))
+    p = table(spark, sf, "part").where(_IN_A).select("p_partkey")
     return g.join(p, g.l_partkey == p.p_partkey).select(
-        F.col("l_partkey").alias("species"), F.col("l_returnflag").alias("area"),
-        F.col("q").alias("trophic_level"),
-        F.when(n >= 9, "spe").when(n >= 6, "gen").alias("level_tl"), F.lit("A").alias("reference_tl"),
-        F.col("d").alias("fecundity"),
-        F.when(n >= 12, "spe-LME").when(n >= 7, "spe").when(n >= 5, "fam").alias("level_fecundity"),
-        F.lit("A").alias("reference_fecundity"))
+        F.col("l_partkey").alias("species"), F.col("l_returnflag").alias("area"), *exprs, *[F.lit("A").alias(r.reference) for r in T.RULES])
 
 
 def source_b(spark, sf):
-    return (table(spark, sf, "part").where("p_size BETWEEN 10 AND 45").select(
-        F.col("p_partkey").alias("species"), F.col("p_size").cast("double").alias("trophic_level"),
-        F.col("p_retailprice").alias("fecundity"), (F.col("p_size") * 2.5).alias("temperature")))
-
-
-TWO_RULES = (T.RULES[0], T.RULES[2])
-TWO_SECOND = {"temperature": "reference_temperature"}
-
-SOURCES_SQL = """a AS (SELECT l_partkey AS species, l_returnflag AS area, avg(l_quantity) AS trophic_level,
-    CASE WHEN count(*) >= 9 THEN 'spe' WHEN count(*) >= 6 THEN 'gen' END AS level_tl, 'A' AS reference_tl,
-    avg(l_discount) AS fecundity, CASE WHEN count(*) >= 12 THEN 'spe-LME' WHEN count(*) >= 7 THEN 'spe'
-      WHEN count(*) >= 5 THEN 'fam' END AS level_fecundity, 'A' AS reference_fecundity
-  FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 20) GROUP BY l_partkey, l_returnflag),
-b AS (SELECT p_partkey AS species, CAST(p_size AS DOUBLE) AS trophic_level, p_retailprice AS fecundity,
-    p_size * 2.5e0 AS temperature FROM part WHERE p_size BETWEEN 10 AND 45),
+    return table(spark, sf, "part").where(_IN_B).selectExpr("p_partkey AS species", *[f"{e} AS {c}" for c, e in _B_TRAITS.items()])
+
+
+def _sources_sql() -> str:
+    flags = ", ".join("bool_or({0} IS NULL OR {0} NOT IN ({1})) AS f{2}".format(r.level, ", ".join(f"'{x}'" for x in r.species_levels), i)
+                      for i, r in enumerate(T.RULES))
+    swap = lambda i: f"b.species IS NOT NULL AND f{i}"
+    both = ", ".join(
+        [f"CASE WHEN {swap(i)} THEN b.{t} ELSE a.{t} END AS {t}" for i, r in enumerate(T.RULES) for t in r.traits]
+        + [f"{r.level}, CASE WHEN {swap(i)} THEN 'B' ELSE {r.reference} END AS {r.reference}" for i, r in enumerate(T.RULES)]
+        + [f"b.{t}, CASE WHEN b.species IS NOT NULL THEN 'B' END AS {ref}" for t, ref in T.SECOND_ONLY.items()])
+    alone = ", ".join([t for r in T.RULES for t in r.traits] + [f"NULL AS {r.level}, 'B' AS {r.reference}" for r in T.RULES]
+                      + [f"{t}, 'B' AS {ref}" for t, ref in T.SECOND_ONLY.items()])
+    return f"""a AS (SELECT l_partkey AS species, l_returnflag AS area, {", ".join(f"{e} AS {c}" for c, e in {**_A_TRAITS, **_A_LEVELS}.items())},
+    {", ".join(f"'A' AS {r.reference}" for r in T.RULES)}
+  FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE {_IN_A}) GROUP BY l_partkey, l_returnflag),
+b AS (SELECT p_partkey AS species, {", ".join(f"{e} AS {c}" for c, e in _B_TRAITS.items())} FROM part WHERE {_IN_B}),
 listed AS (SELECT p_partkey AS species FROM part WHERE p_brand <> 'Brand#1'),
-flags AS (SELECT species, bool_or(level_tl IS NULL OR level_tl <> 'spe') AS f_tl,
-    bool_or(level_fecundity IS NULL OR level_fecundity NOT IN ('spe-ocean', 'spe', 'spe-FAO', 'spe-LME')) AS f_fec
-  FROM a GROUP BY species),
+flags AS (SELECT species, {flags} FROM a GROUP BY species),
 filled AS (
-  SELECT a.species, area, CASE WHEN b.species IS NOT NULL AND f_tl THEN b.trophic_level ELSE a.trophic_level END AS trophic_level,
-    level_tl, CASE WHEN b.species IS NOT NULL AND f_tl THEN 'B' ELSE reference_tl END AS reference_tl,
-    CASE WHEN b.species IS NOT NULL AND f_fec THEN b.fecundity ELSE a.fecundity END AS fecundity, level_fecundity,
-    CASE WHEN b.species IS NOT NULL AND f_fec THEN 'B' ELSE reference_fecundity END AS reference_fecundity,
-    b.temperature, CASE WHEN b.species IS NOT NULL THEN 'B' END AS reference_temperature
-  FROM a JOIN flags USING (species) LEFT JOIN b ON a.species = b.species WHERE a.species IN (SELECT species FROM listed)
-  UNION ALL SELECT species, NULL, trophic_level, NULL, 'B', fecundity, NULL, 'B', temperature, 'B' FROM b
+  SELECT a.species, area, {both} FROM a JOIN flags USING (species) LEFT JOIN b ON a.species = b.species
+  WHERE a.species IN (SELECT species FROM listed)
+  UNION ALL SELECT species, NULL, {alone} FROM b
   WHERE species IN (SELECT species FROM listed) AND species NOT IN (SELECT species FROM a))"""
 
 
+SOURCES_SQL = _sources_sql()
+TRAIT_COLS = list(_B_TRAITS)
+
+
 def gap_filled(spark, sf):
     listed = table(spark, sf, "part").where("p_brand <> 'Brand#1'").select(F.col("p_partkey").alias("species"))
-    return T.trait_gap_fill(listed, source_a(spark, sf), source_b(spark, sf),
-                            rules=TWO_RULES, second_only=TWO_SECOND)
+    return T.trait_gap_fill(listed, source_a(spark, sf), source_b(spark, sf))
+
+
+ROUNDED_SQL = ", ".join(f"{r(c)} AS {c}" for c in TRAIT_COLS)
 
 
-@query("trait_gap_fill", f"""WITH {SOURCES_SQL} SELECT * REPLACE ({r('trophic_level')} AS trophic_level,
-  {r('fecundity')} AS fecundity) FROM filled""")
+@query("trait_gap_fill", f"WITH {SOURCES_SQL} SELECT * REPLACE ({ROUNDED_SQL}) FROM filled")
 def trait_gap_fill(spark, sf):
-    return K.across(gap_filled(spark, sf), ["trophic_level", "fecundity"], rnd)
+    return K.across(gap_filled(spark, sf), TRAIT_COLS, rnd)
 
 
-@query("group_any_flag", f"""WITH {SOURCES_SQL} SELECT a.species, area, f_tl, f_fec FROM a JOIN flags USING (species)""")
+@query("group_any_flag", f"""WITH {SOURCES_SQL} SELECT a.species, area, f0 AS f_tl, f2 AS f_fec FROM a JOIN flags USING (species)""")
 def group_any_flag(spark, sf):
     a = source_a(spark, sf)
     flag = {"f_tl": ("level_tl", ["spe"]), "f_fec": ("level_fecundity", list(T.SPECIES_LEVELS))}

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import columns as K
 from ..operators import aggregates as A, spatial as G
 from ..operators.reshape import pivot_values
+from ..operators.trait_sources import RULES, SECOND_ONLY
 from ..plans import areas, indicators, species as SP, trait_tables as TT
 from .base import TOWS_SQL, TRAITS_SQL, query, r, rnd, survey_catch, table, traits
 from .community import CWM_SQL, SITE, TRAITS, tow_cwm
-from .joining import SOURCES_SQL, TWO_RULES, TWO_SECOND, source_a, source_b
+from .joining import ROUNDED_SQL, SOURCES_SQL, TRAIT_COLS, source_a, source_b
 from .modelling import GRIDFIELD_SQL, field_on_grid
 from .spatial import AREAS_SQL, POS_SQL, UTM_SQL, area_edges, pip_sql, positions
 from .summaries import LANDINGS_SQL, landed
@@ -101,16 +102,18 @@ def trait_db(spark, sf):
     listed = table(spark, sf, "part").select(
         F.col("p_partkey").alias("svspp"), F.concat_ws(" ", "p_partkey", F.lit("spp")).alias("label"),
         F.when(F.col("p_brand") != "Brand#1", F.col("p_partkey").cast("string")).alias("species"))
-    return TT.trait_database(listed, _text_key(source_a(spark, sf)), _text_key(source_b(spark, sf)),
-                             TWO_RULES, TWO_SECOND)
+    return TT.trait_database(listed, _text_key(source_a(spark, sf)), _text_key(source_b(spark, sf)))
 
 
-@query("trait_database", f"""WITH {SOURCES_SQL} SELECT CAST(species AS VARCHAR) AS species, area, {r('trophic_level')} AS trophic_level, level_tl, reference_tl,
-  {r('fecundity')} AS fecundity, level_fecundity, reference_fecundity, temperature, reference_temperature, species AS svspp, species || ' spp' AS label FROM filled
-UNION ALL SELECT NULL, NULL, {r('trophic_level')}, NULL, 'B', {r('fecundity')}, NULL, 'B', temperature, 'B', species, species || ' spp' FROM b
+_ALONE = ", ".join([f"{r(t)} AS {t}" for t in TRAIT_COLS] + [f"NULL AS {x.level}, 'B' AS {x.reference}" for x in RULES]
+                   + [f"'B' AS {ref}" for ref in SECOND_ONLY.values()])
+
+
+@query("trait_database", f"""WITH {SOURCES_SQL} SELECT * REPLACE (CAST(species AS VARCHAR) AS species, {ROUNDED_SQL}), species AS svspp, species || ' spp' AS label FROM filled
+UNION ALL BY NAME SELECT CAST(NULL AS VARCHAR) AS species, CAST(NULL AS VARCHAR) AS area, {_ALONE}, species AS svspp, species || ' spp' AS label FROM b
 WHERE species IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#1')""")
 def trait_database(spark, sf):
-    return K.across(trait_db(spark, sf), ["trophic_level", "fecundity"], rnd)
+    return K.across(trait_db(spark, sf), TRAIT_COLS, rnd)
 
 
 @query("trait_pca")
@@ -144,8 +147,8 @@ def bottom_temp_by_area(spark, sf):
 
 
 @query("area_model_table", f"""WITH {AREA_CWM_SQL}, {BT_SQL[len(PLACED_SQL) + 2:]}, {LANDINGS_SQL},
-la AS (SELECT year, id, coalesce(sum(landed), 0) AS landings FROM landed WHERE id < 20 GROUP BY ALL),
-m AS (SELECT est_year AS year, lower(season) AS season, area AS id, trait_size, trait_price FROM area_cwm WHERE NOT (est_year = 1997 AND season = 'Fall')),
+la AS (SELECT year, id, coalesce(sum(landed), 0) AS landings FROM landed GROUP BY ALL),
+m AS (SELECT est_year AS year, lower(season) AS season, area AS id, trait_size, trait_price FROM area_cwm),
 g AS (SELECT * FROM (SELECT DISTINCT year FROM m), (SELECT DISTINCT id FROM m), (SELECT DISTINCT season FROM m)),
 w AS (SELECT g.year, g.id, g.season, trait_size, trait_price, CASE WHEN m.year IS NOT NULL THEN mean_temp END AS mean_temp,
     CASE WHEN m.year IS NOT NULL THEN sd_temp END AS sd_temp, landings
@@ -153,16 +156,16 @@ w AS (SELECT g.year, g.id, g.season, trait_size, trait_price, CASE WHEN m.year I
   LEFT JOIN bt ON bt.year = g.year AND bt.area = g.id AND bt.season = g.season LEFT JOIN la ON la.year = g.year AND la.id = g.id
   WHERE g.id IS NOT NULL),
 k AS (SELECT *, mean_temp / nullif(sd_temp, 0) AS cv_temp FROM w WHERE coalesce(trait_size, trait_price, mean_temp, sd_temp, landings) IS NOT NULL)
-SELECT year, id, season, {r('mean_temp')} AS mean_temp, {r('cv_temp')} AS cv_temp, {r('CASE WHEN landings > 0 THEN ln(landings) END')} AS log_landings, 'trait_size' AS pca_axis, {r('trait_size')} AS pca_value FROM k
-UNION ALL SELECT year, id, season, {r('mean_temp')}, {r('cv_temp')}, {r('CASE WHEN landings > 0 THEN ln(landings) END')}, 'trait_price', {r('trait_price')} FROM k""")
+SELECT year, id, season, CAST(year AS DOUBLE) AS time, CAST(year AS VARCHAR) AS year_fct, CAST(id AS VARCHAR) AS stat_area, {r('mean_temp')} AS mean_temp, {r('cv_temp')} AS cv_temp, {r('CASE WHEN landings > 0 THEN ln(landings) END')} AS log_landings, 'trait_size' AS pca_axis, {r('trait_size')} AS pca_value FROM k
+UNION ALL SELECT year, id, season, CAST(year AS DOUBLE), CAST(year AS VARCHAR), CAST(id AS VARCHAR), {r('mean_temp')}, {r('cv_temp')}, {r('CASE WHEN landings > 0 THEN ln(landings) END')}, 'trait_price', {r('trait_price')} FROM k""")
 def area_model_table(spark, sf):
-    means = (area_cwm(spark, sf).where("NOT (est_year = 1997 AND season = 'Fall')")
+    means = (area_cwm(spark, sf)
              .select(F.col("est_year").alias("year"), F.lower("season").alias("season"), F.col("area").alias("id"), *TRAITS))
     temps = bottom_temps(spark, sf).withColumnRenamed("area", "id")
-    la = (landed(spark, sf).where("id < 20").groupBy("year", "id")
+    la = (landed(spark, sf).groupBy("year", "id")
           .agg(F.coalesce(F.sum("landed"), F.lit(0.0)).alias("landings")))
     out = areas.area_model_table(means, temps, la, TRAITS)
-    return out.select("year", "id", "season", rnd("mean_temp").alias("mean_temp"), rnd("cv_temp").alias("cv_temp"),
+    return out.select("year", "id", "season", "time", "year_fct", "stat_area", rnd("mean_temp").alias("mean_temp"), rnd("cv_temp").alias("cv_temp"),
                       rnd("log_landings").alias("log_landings"), "pca_axis", rnd("pca_value").alias("pca_value"))
 
 
@@ -223,9 +226,10 @@ def litreview_frequency(spark, sf):
     return A.count_having(table(spark, sf, "events"), ["event_type", "props"])
 
 
-_EAV_SQL = f"""{LANDINGS_SQL}, base AS (SELECT year, n_regionkey AS region, avg(landed) / 1e5 AS y, count(*) AS harvest,
-    avg(id) AS temp, CAST(year - 1990 AS DOUBLE) AS gsi FROM landed JOIN nation ON id = n_nationkey
-  WHERE NOT (year = 1999 AND n_regionkey = 2) AND year >= 1996 GROUP BY ALL),
+_EAV_SQL = f"""{LANDINGS_SQL}, told AS (SELECT CASE WHEN year = 1999 AND n_regionkey = 2 THEN 1998 ELSE year END AS year, n_regionkey AS region, landed, id
+  FROM landed JOIN nation ON id = n_nationkey),
+base AS (SELECT year, region, avg(landed) / 1e5 AS y, count(*) AS harvest,
+    avg(id) AS temp, CAST(year - 1990 AS DOUBLE) AS gsi FROM told GROUP BY ALL),
 b AS (SELECT *, (harvest - (SELECT avg(harvest) FROM base)) / (SELECT stddev_samp(harvest) FROM base) AS h FROM base)"""
 _REGIONS = [0, 1, 2, 3, 4]
 
@@ -234,16 +238,17 @@ _REGIONS = [0, 1, 2, 3, 4]
     f"{r(f'coalesce(max(temp) FILTER (region = {k}), (SELECT avg(temp) FROM b))')} AS temp_{k}, "
     f"{r(f'coalesce(max(h) FILTER (region = {k}), 0)')} AS harvest_{k}, "
     f"{r(f'coalesce(max(y) FILTER (region = {k}), (SELECT avg(y) FROM b))')} AS y_{k}, "
-    f"{r(f'(SELECT max(y) FROM b WHERE region = {k} AND year = 1996)')} AS x0_{k}" for k in _REGIONS) + " FROM b GROUP BY year")
+    f"{r(f'(SELECT max(y) FROM b WHERE region = {k} AND year = (SELECT min(year) FROM b))')} AS x0_{k}" for k in _REGIONS) + " FROM b GROUP BY year")
 def state_space_inputs(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
     land = landed(spark, sf)
-    g = (land.join(n, land.id == n.n_nationkey).where("NOT (year = 1999 AND n_regionkey = 2)")
+    told = F.when((F.col("year") == 1999) & (F.col("n_regionkey") == 2), 1998).otherwise(F.col("year"))  # one region was late
+    g = (land.join(n, land.id == n.n_nationkey).withColumn("year", told)
          .groupBy("year", F.col("n_regionkey").alias("region"))
          .agg((F.avg("landed") / 1e5).alias("Y"), F.count("*").cast("double").alias("Harvest"), F.avg("id").alias("Temp")))
     wide = g.withColumn("GSI", (F.col("year") - 1990).cast("double"))
     eav = wide.unpivot(["year", "region"], ["Y", "Harvest", "Temp", "GSI"], "metric", "value")
-    out = indicators.state_space_inputs(eav, ["Y", "Harvest", "Temp", "GSI"], _REGIONS, 1996)
+    out = indicators.state_space_inputs(eav, ["Y", "Harvest", "Temp", "GSI"], _REGIONS)
     cols = [c for c in out.columns if c not in ("year", "gsi")]
     return out.select("year", "gsi", *[rnd(c).alias(c) for c in cols])
 
@@ -271,16 +276,16 @@ def indicator_series(spark, sf):
 
 @query("covariate_enriched_tows", f"""WITH {TOWS_SQL}, {TRAITS_SQL}, {CWM_SQL}, {UTM_SQL}
 SELECT CAST(s_nationkey AS VARCHAR) || CASE WHEN tow < 1000 THEN lpad(CAST(tow AS VARCHAR), 3, '0') ELSE CAST(tow AS VARCHAR) END || CAST(s_nationkey AS VARCHAR) AS id,
-  est_year, upper(season) AS season, {r('trait_size')} AS trait_size, s_acctbal AS depth, {r('x')} AS x, {r('y')} AS y
-FROM cwm JOIN supplier ON tow = s_suppkey JOIN utm ON tow = vec_id WHERE s_acctbal > 0""")
+  est_year, upper(season) AS season, {r('trait_size')} AS trait_size, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS depth, {r('x')} AS x, {r('y')} AS y
+FROM cwm JOIN supplier ON tow = s_suppkey JOIN utm ON tow = vec_id""")
 def covariate_enriched_tows(spark, sf):
     s = table(spark, sf, "supplier")
     stations = s.select(F.col("s_suppkey").alias("tow"), F.col("s_nationkey").alias("cruise"),
                         F.col("s_suppkey").alias("station"), F.col("s_nationkey").alias("stratum"))
     pos = positions(spark, sf)
-    cov = (s.where("s_acctbal > 0").join(pos, F.col("s_suppkey") == F.col("vec_id"))
+    cov = (s.join(pos, F.col("s_suppkey") == F.col("vec_id"))
            .select(K.composite_id("s_nationkey", "s_suppkey", "s_nationkey").alias("id"),
-                   F.col("s_acctbal").alias("depth"), "lon", "lat"))
+                   F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("depth"), "lon", "lat"))
     out = areas.covariate_tows(tow_cwm(spark, sf), stations, cov)
     return out.select("id", "est_year", "season", rnd("trait_size").alias("trait_size"), "depth",
                       rnd("X").alias("x"), rnd("Y").alias("y"))

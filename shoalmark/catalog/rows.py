@@ -375,13 +375,13 @@ def union_list(spark, sf):
                        for t, c in named.items())
 
 
-KEYS_SQL = """a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity >= 48),
-b AS (SELECT DISTINCT p_partkey AS k FROM part WHERE p_size <= 25)"""
+KEYS_SQL = "a AS (SELECT DISTINCT l_partkey AS k FROM lineitem), b AS (SELECT DISTINCT o_custkey AS k FROM orders)"
 
 
 def _keys(spark, sf):
-    a = table(spark, sf, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("k"))
-    b = table(spark, sf, "part").where("p_size <= 25").select(F.col("p_partkey").alias("k"))
+    """Codes used by catches and by orders; the two ranges overlap in part."""
+    a = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("k"))
+    b = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
     return a, b
 
 

@@ -220,17 +220,17 @@ REGIONS = [0, 1, 2, 3, 4]
 
 
 def _year_region(spark, sf):
-    """Mean price by year and region of the larger finished orders, with one gap."""
+    """Mean landings by year and region; one region reported 1999 with 1998, which leaves a gap."""
     n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
     land = landed(spark, sf)
     return (land.join(n, land.id == n.n_nationkey)
-            .where(~((F.col("year") == 1999) & (F.col("n_regionkey") == 2)))
+            .withColumn("year", F.when((F.col("year") == 1999) & (F.col("n_regionkey") == 2), 1998).otherwise(F.col("year")))
             .groupBy("year", F.col("n_regionkey").alias("region")).agg(F.avg("landed").alias("y")))
 
 
 @query("pivot_wider_mean_fill", f"""WITH {LANDINGS_SQL}, yr AS (
-  SELECT year, n_regionkey AS region, avg(landed) AS y FROM landed JOIN nation ON id = n_nationkey
-  WHERE NOT (year = 1999 AND n_regionkey = 2) GROUP BY ALL)
+  SELECT CASE WHEN year = 1999 AND n_regionkey = 2 THEN 1998 ELSE year END AS year, n_regionkey AS region, avg(landed) AS y
+  FROM landed JOIN nation ON id = n_nationkey GROUP BY ALL)
 SELECT year, """ + ", ".join(
     r(f"coalesce(max(y) FILTER (region = {k}), (SELECT avg(y) FROM yr))", 4) + f' AS "{k}"' for k in REGIONS)
     + " FROM yr GROUP BY year")

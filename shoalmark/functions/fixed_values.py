@@ -40,13 +40,6 @@ DECADES = [
 ]
 LAST_DECADE = "2010-2019"
 
-# Ocean areas and large marine ecosystems of the trait source.
-FAO_AREAS = [21, 31]
-LME_AREAS = [6, 7, 8, 9]
-
-# The polygon known to be invalid.
-INVALID_AREA_ID = 706
-
 # Padding of the map extent: west, south, east, north.
 EXTENT_PAD = (-1.0, -2.0, 1.0, 0.5)
 

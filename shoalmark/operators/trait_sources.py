@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import word
 from ..functions.fixed_values import SPECIES_LEVELS, SPECIES_LEVELS_STRICT
+from ..functions.nulls import require_unique
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ def trait_gap_fill(species: DataFrame, a: DataFrame, b: DataFrame, key: str = "s
                    rules: Sequence[TraitRule] = RULES, second_only: dict[str, str] = SECOND_ONLY,
                    label: str = "B") -> DataFrame:
     """Trait table of the listed species from source ``a`` (several rows per species, with level
-    codes) and source ``b`` (one row per species).
+    codes) and source ``b`` (one row per species; a species that occurs twice there is an error).
 
     A trait of a species present in both is taken from ``b`` for all its rows as soon as one of its
     ``a`` rows is not at species level. Species only in ``b`` give one row, species in neither none.
@@ -49,7 +50,7 @@ def trait_gap_fill(species: DataFrame, a: DataFrame, b: DataFrame, key: str = "s
     listed = species.select(key).where(F.col(key).isNotNull()).distinct()
     a = a.join(listed, key, "left_semi")
     b_traits = [t for r in rules for t in r.traits] + list(second_only)
-    b = (b.join(listed, key, "left_semi")
+    b = (require_unique(b, key).join(listed, key, "left_semi")
          .select(key, F.struct(*b_traits).alias("_b")))
     # one row per species: which traits to replace, and the second source's values
     flags = a.groupBy(key).agg(*[

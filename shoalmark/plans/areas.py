@@ -57,7 +57,8 @@ def area_model_table(means: DataFrame, temps: DataFrame, landings: DataFrame, ax
     """One row per (year, id, season, axis) with its covariates.
 
     ``means(year, id, season, axes...)``, ``temps(year, id, season, mean_temp, sd_temp)`` and
-    ``landings(year, id, landings)``. ``cv_temp`` is mean over sd, as the analysis defines it.
+    ``landings(year, id, landings)``. ``cv_temp`` is mean over sd, as the analysis defines it; ``time`` is the year as a number,
+    ``year_fct`` and ``stat_area`` are the year and the area as factors.
     """
     # a small table at the end of two full passes, read again for its levels
     wide = cut_lineage(means.join(temps, ["year", "id", "season"], "left"))
@@ -68,7 +69,8 @@ def area_model_table(means: DataFrame, temps: DataFrame, landings: DataFrame, ax
     kept = drop_na_all(full, *measures)
     ids = [c for c in kept.columns if c not in axes]
     long = pivot_longer(kept, ids, axes, "pca_axis", "pca_value")
-    return long.withColumn("log_landings", ln0("landings"))
+    return long.withColumns({"log_landings": ln0("landings"), "time": F.col("year").cast("double"),
+                             "year_fct": F.col("year").cast("string"), "stat_area": F.col("id").cast("string")})
 
 
 def covariate_tows(means: DataFrame, stations: DataFrame, covariates: DataFrame, zone: int = 19) -> DataFrame:

@@ -25,14 +25,15 @@ def indicator_series(table: DataFrame, var: str, areas: DataFrame | None = None)
     return rows.join(order_groups_by_mean(rows, "area", "value", "facet").drop("mean_value"), "area")
 
 
-def state_space_inputs(eav: DataFrame, metrics: Sequence[str], regions: Sequence, since: int) -> DataFrame:
+def state_space_inputs(eav: DataFrame, metrics: Sequence[str], regions: Sequence, since: int | None = None) -> DataFrame:
     """Year x region matrices side by side, one row per year.
 
     ``eav(year, region, metric, value)``. Absent cells of temperature and response take the overall
     mean, absent cells of the standardized harvest are 0; ``x0_r`` repeats the response of the first
     year as the starting state of each region.
     """
-    wide = pivot_values(eav.where(F.col("year") >= since), ["year", "region"], "metric", ["value"], metrics)
+    eav = eav if since is None else eav.where(F.col("year") >= since)
+    wide = pivot_values(eav, ["year", "region"], "metric", ["value"], metrics)
     rows = cut_lineage(standardize(K.clean_names(wide).dropna(), ["harvest"]))
     out = rows.groupBy("year").agg(F.max("gsi").alias("gsi"))
     for name, fill in (("temp", None), ("harvest", F.lit(0.0)), ("y", None)):
