@@ -116,15 +116,42 @@ def trait_database(spark, sf):
     return K.across(trait_db(spark, sf), TRAIT_COLS, rnd)
 
 
-@query("trait_pca")
-def trait_pca(spark, sf):
+def fitted_components(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("svspp"), F.col("p_retailprice").alias("retail"),
                                         F.col("p_size").cast("double").alias("size"))
     li = table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("svspp"), F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("price"), (F.col("l_tax") + 0.01).alias("tax"))
-    _, scores = TT.trait_pca(li.join(p, "svspp"), "svspp", ["retail", "size", "quantity", "price", "tax"], 3)
-    return scores
+    return TT.trait_pca(li.join(p, "svspp"), "svspp", _COMPONENT_TRAITS, len(_COMPONENT_TRAITS))
+
+
+@query("trait_pca")
+def trait_pca(spark, sf):
+    return fitted_components(spark, sf)[1].select("svspp", "PC1", "PC2", "PC3")
+
+
+_COMPONENT_TRAITS = ["retail", "size", "quantity", "price", "tax"]
+_PAIRS = [(a, b) for i, a in enumerate(_COMPONENT_TRAITS) for b in _COMPONENT_TRAITS[i + 1:]]
+
+
+# The eigenvalues of a correlation matrix add up to its size and their squares to its squared elements; scores have mean 0,
+# the eigenvalues as variances, and for each species the squared length of its standardized traits.
+@query("trait_pca_moments", f"""WITH t AS (SELECT l_partkey AS svspp, ln(any_value(p_retailprice)) AS retail, ln(any_value(p_size)) AS size,
+  ln(avg(l_quantity)) AS quantity, ln(avg(l_extendedprice)) AS price, ln(avg(l_tax + 0.01)) AS tax FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey),
+m AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in _COMPONENT_TRAITS)},
+  count(*) AS n, {len(_COMPONENT_TRAITS)}e0 + 2 * ({" + ".join(f"corr({a}, {b}) ** 2" for a, b in _PAIRS)}) AS sq FROM t)
+SELECT CAST(NULL AS BIGINT) AS svspp, 'sum of variances' AS what, {len(_COMPONENT_TRAITS)}e0 AS value FROM m
+UNION ALL SELECT NULL, 'sum of squared variances', {r('sq')} FROM m UNION ALL SELECT NULL, 'sum of shares', 1e0 FROM m
+UNION ALL SELECT svspp, 'squared length', {r(" + ".join(f"(({c} - m_{c}) / s_{c}) ** 2" for c in _COMPONENT_TRAITS), 4)} FROM t, m""")
+def trait_pca_moments(spark, sf):
+    fit, scores = fitted_components(spark, sf)
+    v = [float(x) for x in fit.variance]
+    told = [("sum of variances", sum(v)), ("sum of squared variances", sum(x * x for x in v)), ("sum of shares", float(fit.proportion.sum()))]
+    head = spark.createDataFrame(told, "what string, value double").select(
+        F.lit(None).cast("bigint").alias("svspp"), "what", rnd("value").alias("value"))
+    pcs = [F.col(f"PC{k + 1}") for k in range(len(_COMPONENT_TRAITS))]
+    lengths = scores.select("svspp", F.lit("squared length").alias("what"), rnd(sum((c * c for c in pcs[1:]), pcs[0] * pcs[0]), 4).alias("value"))
+    return head.unionByName(lengths)
 
 
 # ---- areas ----------------------------------------------------------------------------------

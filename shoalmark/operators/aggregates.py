@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
@@ -72,18 +71,27 @@ NUMBERS = ("double", "float", "integer", "long", "short", "byte")
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: type, rows, missing, different values, range.
 
-    Rows, missing values and ranges of all columns are one aggregate; only the different values need a shuffle,
-    each column's in its own type from a scan of that column alone.
+    Two scans for any number of columns. The first aggregates rows, missing values and ranges of all columns; the second stacks
+    (column, value) with one value field per type, so that values are compared in their own type, and reduces them to
+    different ones within each task before the shuffle.
     """
-    per = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        number = f.dataType.typeName() in NUMBERS
-        one = df.agg(
-            F.count("*").alias("n"), (F.count("*") - F.count(c)).alias("n_null"),
-            *[(g(c).cast("double") if number else F.lit(None).cast("double")).alias(f"{k}_number") for k, g in (("min", F.min), ("max", F.max))],
-            *[(F.lit(None).cast("string") if number else g(c).cast("string")).alias(f"{k}_text") for k, g in (("min", F.min), ("max", F.max))])
-        different = df.select(c.alias("_v")).distinct().agg(F.count("_v").alias("n_distinct"))
-        per.append(one.select(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), "n", "n_null",
-                              different.scalar().alias("n_distinct"), "min_number", "max_number", "min_text", "max_text"))
-    return reduce(DataFrame.unionByName, per)
+    fields = [(i, f.dataType.simpleString(), f.dataType.typeName() in NUMBERS, F.col(f"`{f.name}`")) for i, f in enumerate(df.schema)]
+    sums = [F.count("*").alias("n")]
+    for i, _, number, c in fields:
+        sums += [F.count(c).alias(f"c{i}"), F.min(c).cast("double" if number else "string").alias(f"l{i}"), F.max(c).cast("double" if number else "string").alias(f"h{i}")]
+    no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    per = F.array(*[F.struct(
+        F.lit(i).alias("_i"), F.lit(df.columns[i]).alias("column"), F.lit(kind).alias("type"), F.col("n"), (F.col("n") - F.col(f"c{i}")).alias("n_null"),
+        *[(F.col(f"{k}{i}") if number else no_number).alias(f"{name}_number") for k, name in (("l", "min"), ("h", "max"))],
+        *[(no_text if number else F.col(f"{k}{i}")).alias(f"{name}_text") for k, name in (("l", "min"), ("h", "max"))]) for i, kind, number, _ in fields])
+    one = df.agg(*sums).select(F.inline(per))
+
+    kinds = list(dict.fromkeys(kind for _, kind, _, _ in fields))
+    stacked = F.array(*[F.struct(F.lit(i).alias("_c"), *[(c if kind == k else F.lit(None).cast(k)).alias(f"_v{j}") for j, k in enumerate(kinds)])
+                        for i, kind, _, c in fields])
+    values = [f"_v{j}" for j in range(len(kinds))]
+    different = (df.select(F.inline(stacked)).where(" OR ".join(f"{v} IS NOT NULL" for v in values)).groupBy("_c", *values).agg(F.lit(1).alias("_one"))
+                 .groupBy("_c").agg(F.count("*").alias("n_distinct")))
+    return (one.join(different, F.col("_i") == F.col("_c"), "left")
+            .select("column", "type", "n", "n_null", F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct"),
+                    "min_number", "max_number", "min_text", "max_text"))

@@ -110,15 +110,15 @@ def test_mixed_equals_dense(spark, limit, slopes):
 
 def test_two_large_terms(spark):
     """Both terms too large for the driver: conjugate gradients, variances with the stated probes."""
-    rows = _crossed_rows(900, 40, 30)
+    rows = _crossed_rows(500, 25, 20)
     df = spark.createDataFrame(rows, SCHEMA)
     spark.conf.set("spark.sql.shuffle.partitions", "2")  # many short jobs on few rows
     args = (df, "y", [("x",), ("f",)], (mixed.RandomTerm("g"), mixed.RandomTerm("h")), {"f": ["a", "b"]})
-    dense, fit = mixed.fit_mixed(*args), mixed.fit_mixed(*args, max_levels=20, probes=40, tol=1e-3)
+    dense, fit = mixed.fit_mixed(*args), mixed.fit_mixed(*args, max_levels=10, probes=40, tol=5e-3)
     assert fit.iterations < 20
     for g in ("g", "h"):
-        assert fit.covariances[g][0, 0] == pytest.approx(dense.covariances[g][0, 0], rel=0.02)
-    assert fit.residual == pytest.approx(dense.residual, rel=0.005)
+        assert fit.covariances[g][0, 0] == pytest.approx(dense.covariances[g][0, 0], rel=0.05)
+    assert fit.residual == pytest.approx(dense.residual, rel=0.01)
     # at its own variances everything but the determinants is exact
     want = _dense_of(rows, fit)
     assert np.allclose(fit.beta, want.beta, atol=1e-6) and np.allclose(fit.cov, want.cov, rtol=1e-4)
