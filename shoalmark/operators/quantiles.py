@@ -2,9 +2,9 @@
 
 The built-in exact percentile keeps every distinct value of a group in one buffer. Here a mergeable
 sketch of bounded size only proposes where to cut; exact counts between the cuts say which bracket
-holds each wanted rank, a histogram narrows the bracket, and just the values of the bins that hold
-a wanted rank are ordered. The rows themselves are never shuffled as a whole: every pass is a scan
-with a map-side aggregate. The result is exact however good the sketch is.
+holds each wanted rank, and histograms narrow it until it holds one value. No values are ordered: the windows
+run over the bins of one histogram. The rows themselves are never shuffled as a whole: every pass is a scan
+with a map-side aggregate. The result is exact however good the sketch is, and however the values crowd.
 """
 
 from __future__ import annotations
@@ -68,22 +68,24 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     wanted = linked(sketch, "n").select(*link, F.inline(ranks))
     wanted = cut_lineage(_holds_rank(linked(boxes, "_c").join(wanted, link), "_c"))
 
-    # equal-width bins inside the wanted brackets
-    box = wanted.select(*keys, "_b", "_lo", "_hi").distinct()
-    lo, hi = F.col("_lo"), F.col("_hi")
-    step = F.floor((F.col("_v") - lo) / (hi - lo) * bins)
-    binned = (cut_rows.join(box, [*keys, "_b"])
-              .withColumn("_bin", F.when(hi > lo, F.least(step, F.lit(bins - 1))).otherwise(0))
-              .drop("_lo", "_hi"))
-    hist = _running_before(binned.groupBy(*keys, "_b", "_bin").agg(F.count("*").alias("_c")),
-                           [*keys, "_b"], "_bin", "_c")
-    wanted = cut_lineage(_holds_rank(hist.join(wanted.drop("_lo", "_hi", "_one"), [*keys, "_b"]), "_c"))
-
-    # the few values that are left, in order
-    spot = [*keys, "_b", "_bin"]
-    last = binned.join(wanted.select(*spot).distinct(), spot, "left_semi")
-    last = _running_before(last.groupBy(*spot, "_v").agg(F.count("*").alias("_c")), spot, "_v", "_c")
-    hit = _holds_rank(last.join(wanted, spot), "_c")
+    # histograms with equal-width bins, until a wanted bin holds one value; a bin ends at its own least and greatest value
+    lo, hi, v = F.col("_lo"), F.col("_hi"), F.col("_v")
+    part = F.nanvl((v / 2 - lo / 2) / (hi / 2 - lo / 2), F.lit(0.5))  # halves do not overflow; infinite ends come away first
+    step = F.when(v == hi, bins - 1).when(v == lo, 0).otherwise(F.least(F.floor(part * bins), F.lit(bins - 1)))
+    hit = None
+    while True:
+        done = wanted.where("_lo = _hi").select(*keys, "_p", "_side", lo.alias("_v"))
+        hit = done if hit is None else hit.unionByName(done)
+        wanted = wanted.where("_lo < _hi")
+        if wanted.isEmpty():
+            break
+        spot = [*keys, "_b", "_lo", "_hi"]
+        box = wanted.select(*spot).distinct()
+        inside = cut_rows.join(box, [*keys, "_b"]).where((v >= lo) & (v <= hi)).withColumn("_bin", step)
+        hist = inside.groupBy(*spot, "_bin").agg(F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        found = _holds_rank(_running_before(hist, spot, "_bin", "_c").join(wanted.select(*spot, "_p", "_side", "_rank"), spot), "_c")
+        wanted = cut_lineage(found.select(*keys, "_b", "_p", "_side", "_rank", F.col("_least").alias("_lo"), F.col("_most").alias("_hi")))
+
     ends = hit.groupBy(*keys).agg(F.count("*").alias("_hits"), *[
         F.max(F.when((F.col("_p") == i) & (F.col("_side") == s), F.col("_v"))).alias(f"_q{i}_{s}")
         for i in range(len(probs)) for s in (0, 1)])

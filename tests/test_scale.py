@@ -105,3 +105,19 @@ def test_one_long_series_rolling(spark):
     for t in (0, 1, 2, 4, 999, n - 1):
         own = [have[k] for k in range(t - 2, t + 3) if k in have]
         assert got[t] == pytest.approx(sum(own) / len(own))
+
+
+def test_quantiles_of_crowded_values(spark):
+    """Values that crowd in one bin of a histogram, infinite ones, and many equal ones."""
+    from shoalmark.operators import quantiles as Q
+
+    import numpy as np
+    rng = np.random.default_rng(3)
+    parts = {"crowd": np.concatenate([1 + rng.random(4000) * 1e-12, [1e300, -1e300]]), "equal": np.repeat([3.0, 7.0], [900, 100]),
+             "far": np.concatenate([[-np.inf, np.inf, 1.7e308, -1.7e308], rng.normal(size=500)]), "one": np.array([5.0])}
+    rows = [(k, float(x)) for k, xs in parts.items() for x in xs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for accuracy in (10_000, 20):  # a poor sketch changes nothing
+        for r in Q.exact_quantiles(df, ["g"], "v", [0.025, 0.5, 0.975], accuracy=accuracy).collect():
+            want = np.quantile(np.sort(parts[r.g])[:], [0.025, 0.5, 0.975])
+            assert r.n == len(parts[r.g]) and np.allclose(r.q, want, rtol=1e-15, atol=0), r.g
