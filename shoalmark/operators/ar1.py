@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
-from .linear import (LinearFit, cell_moments, centers_of, design, design_sums, independent, levels_of, moment, square,
+from .linear import (LinearFit, cell_moments, design, design_sums, facts_of, independent, moment, square,
                      _roles)
 from .series import previous
 
@@ -39,8 +39,8 @@ def fit_gls_ar1(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     cols_n = _roles(df, response, terms, factors)
     numerics = cols_n[:-1]
     cells = written(ar1_moments(df, response, numerics, factors, series, time, checked), "moments")
-    cols = design(terms, levels_of(cells, factors))
-    centers = centers_of(cells, cols_n)
+    levels, centers, n = facts_of(cells, factors, cols_n)
+    cols = design(terms, levels)
     both = [*cols_n, *[f"prev_{c}" for c in cols_n]]
     all_centers = {**centers, **{f"prev_{c}": centers[c] for c in cols_n}}
     k, p, y = len(cols_n) + 1, len(cols), len(cols_n)
@@ -49,11 +49,11 @@ def fit_gls_ar1(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     before = lambda i: i + k - 1 if i else 0  # noqa: E731  the intercept is its own previous value
     kinds = {"cc": m, "cp": lambda i, j: m(i, before(j)) + m(j, before(i)), "pp": lambda i, j: m(before(i), before(j))}
     by_gap: dict[int, list] = {}
-    for x in design_sums(cells, cols, base, k, y, kinds, ["gap"]).collect():  # p^2 numbers per gap
+    # p^2 numbers per gap; the product of the intercept with itself is the number of rows
+    for x in design_sums(cells, cols, base, k, y, {**kinds, "n": lambda i, j: F.col("n").cast("double")}, ["gap"]).collect():
         by_gap.setdefault(x["gap"], []).append(x)
-    counts = {x["gap"]: x["n"] for x in cells.groupBy("gap").agg(F.sum("n").alias("n")).collect()}
+    counts = {gap: int(next(x["n"] for x in rows if x["i"] == x["j"] == 0)) for gap, rows in by_gap.items()}
     pieces = [(gap, counts[gap], *[square(rows, kind, p) for kind in kinds]) for gap, rows in sorted(by_gap.items())]
-    n = sum(counts.values())
 
     def cross(phi):
         xx, xy, yy, logdet = np.zeros((p, p)), np.zeros(p), 0.0, 0.0

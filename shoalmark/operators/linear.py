@@ -86,10 +86,14 @@ def cell_moments(df: DataFrame, factors: Sequence[str], numerics: Sequence[str])
         *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs])
 
 
-def centers_of(cells: DataFrame, numerics: Sequence[str]) -> dict[str, float]:
-    """Overall means, from the cells."""
-    one = cells.agg(*[(F.sum(F.col("n") * F.col(f"m_{c}")) / F.sum("n")).alias(c) for c in numerics]).first()
-    return {c: one[c] for c in numerics}
+def facts_of(cells: DataFrame, factors: Sequence[str], numerics: Sequence[str]) -> tuple[dict[str, list], dict[str, float], int]:
+    """Sorted levels of each factor, overall means and the number of rows, in one pass over the cells.
+
+    There are as many levels as the design has columns for them.
+    """
+    one = cells.agg(F.sum("n").alias("_n"), *[F.collect_set(f).alias(f"_l{i}") for i, f in enumerate(factors)],
+                    *[(F.sum(F.col("n") * F.col(f"m_{c}")) / F.sum("n")).alias(f"_m{i}") for i, c in enumerate(numerics)]).first()
+    return ({f: sorted(one[f"_l{i}"]) for i, f in enumerate(factors)}, {c: one[f"_m{i}"] for i, c in enumerate(numerics)}, int(one["_n"] or 0))
 
 
 def moment(names: Sequence[str], centers: dict[str, float], i: int, j: int) -> Column:
@@ -115,10 +119,12 @@ def design_sums(cells: DataFrame, cols: Sequence[DesignColumn], base: dict, size
     entries.append(F.struct(F.lit(len(cols)).alias("i"), F.lit(response).alias("b")))
     flat = {k: F.array(*[f(i, j) for i in range(size) for j in range(size)]) for k, f in kinds.items()}
     x = cells.select(*keys, *[v.alias(k) for k, v in flat.items()], F.array_compact(F.array(*entries)).alias("_e"))
-    x = x.select("*", F.explode("_e").alias("_a")).select("*", F.explode("_e").alias("_b")).where("_a.i <= _b.i")
-    at = F.col("_a.b") * size + F.col("_b.b") + 1
-    return (x.groupBy(*keys, F.col("_a.i").alias("i"), F.col("_b.i").alias("j"))
-            .agg(*[F.sum(F.element_at(k, at)).alias(k) for k in kinds]))
+    # the pairs of a cell are formed within its row and unfolded once
+    pairs = F.flatten(F.transform("_e", lambda a: F.transform(
+        F.filter("_e", lambda b: b["i"] >= a["i"]),
+        lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"),
+                           *[F.get(F.col(k), a["b"] * size + b["b"]).alias(k) for k in kinds]))))
+    return x.select(*keys, F.inline(pairs)).groupBy(*keys, "i", "j").agg(*[F.sum(k).alias(k) for k in kinds])
 
 
 def square(rows, kind: str, p: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -225,11 +231,6 @@ def _roles(df, response, terms, factors):
     return numerics
 
 
-def levels_of(cells: DataFrame, factors: Sequence[str]) -> dict[str, list]:
-    """Sorted levels of each factor; as many values as the design has columns for them."""
-    return {f: sorted(r[0] for r in cells.select(f).where(F.col(f).isNotNull()).distinct().collect()) for f in factors}
-
-
 def fit_ols(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
             factors: Sequence[str] = ()) -> LinearFit:
     """Least squares for ``response ~ terms``; terms are tuples of factors and at most one numeric.
@@ -239,13 +240,12 @@ def fit_ols(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     """
     numerics = _roles(df, response, terms, factors)
     cells = written(cell_moments(df, factors, numerics), "moments")
-    cols = design(terms, levels_of(cells, factors))
-    centers = centers_of(cells, numerics)
+    levels, centers, n = facts_of(cells, factors, numerics)
+    cols = design(terms, levels)
     base = {None: 0, **{c: i + 1 for i, c in enumerate(numerics)}}
     p, y = len(cols), len(numerics)
     sums = design_sums(cells, cols, base, y + 1, y, {"v": lambda i, j: moment(numerics, centers, i, j)}).collect()
     xx, xy, yy = square(sums, "v", p)
-    n = int(cells.agg(F.sum("n")).first()[0])
     beta, inverse, kept = solved(xx, xy)
     rss, rank = float(yy - beta @ xy), len(kept)
     sigma2 = rss / (n - rank)
