@@ -1,7 +1,7 @@
 """Toxicity scores from bags of subwords.
 
 A word is the mean of the vectors of its character n-grams (3 to 5, with word ends marked) and of the word itself;
-a passage of ``WINDOW`` words is the mean of its words; a softmax layer turns that mean into class probabilities.
+a passage of at most ``WINDOW`` words is the mean of its words; a softmax layer turns that mean into class probabilities.
 Vectors and layer are trained together in numpy by Adagrad. A document is as toxic as its most toxic passage, so a
 few words in a long text count as much as in a short one: in training, a toxic document teaches through its
 highest passage and a clean one through its highest four. A misspelt word shares most n-grams with
@@ -105,13 +105,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 20, rate: float = 0
         if not ids:
             continue
         own = passages(len(ids))
-        window_starts += (own + at).tolist()
-        window_doc += [d] * len(own)
+        window_starts.append(own + at)
+        window_doc.append(np.full(len(own), d, np.int32))
         seen.append(np.array(ids, np.int32))
         at += len(ids)
     if not seen:
         return train([], [])
-    tokens, starts, doc = np.concatenate(seen), np.array(window_starts), np.array(window_doc)
+    tokens, starts, doc = np.concatenate(seen), np.concatenate(window_starts), np.concatenate(window_doc)
     ends = np.append(starts[1:], len(tokens))
     grams, gram_starts = _all_subwords(list(number))
     known, grams = np.unique(grams, return_inverse=True)  # only buckets that occur are trained
@@ -209,9 +209,11 @@ def score_toxicity(docs: DataFrame, model: SubwordModel, text: str = "text") ->
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, where: Column, per_class: int = PER_CLASS) -> SubwordModel:
-    rows = labelled_sample(docs, labels, "toxic", per_class, LONGEST, where).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], [r.label for r in rows])
+    rows = [(r.doc_id, r.text, r.label) for r in labelled_sample(docs, labels, "toxic", per_class, LONGEST, where).collect()]
+    rows.sort()
+    texts, known = [r[1] for r in rows], [r[2] for r in rows]
+    del rows
+    return train(texts, known)
 
 
 @query("op2_toxicity")
