@@ -161,6 +161,27 @@ def gls_ar1_suffstats(spark, sf):
                     *[rnd(c).alias(c) for c in ("m_y", "m_prev_y", "c_y_y", "c_y_prev_y", "c_est_year_y")])
 
 
+# At the estimates, the residuals with their correlation taken out are orthogonal to every column treated alike.
+@query("gls_ar1_equations", f"""WITH {TOWS_SQL}, {TRAITS_SQL}, {CWM_SQL}, a AS (SELECT DISTINCT n_regionkey AS a FROM cwm
+  JOIN supplier ON tow = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE trait_size IS NOT NULL),
+f AS (SELECT '' AS part UNION ALL SELECT 'survey_area[' || a || ']' FROM a WHERE a > (SELECT min(a) FROM a)),
+s AS (SELECT '' AS season UNION ALL SELECT 'season[Spring]'), t AS (SELECT '' AS year UNION ALL SELECT 'est_year')
+SELECT coalesce(nullif(concat_ws(':', nullif(year, ''), nullif(part, ''), nullif(season, '')), ''), '(Intercept)') AS term, 0e0 AS score FROM f, s, t""")
+def gls_ar1_equations(spark, sf):
+    rows = tow_series(spark, sf).dropna()
+    fit = ar1.fit_gls_ar1(rows, "y", FULL, ["survey_area", "season"], ["tow", "season"], "est_year", checked=True)
+    names = [f"_x{i}" for i in range(len(fit.columns))]
+    known = rows.withColumns({"_e": F.col("y") - fit.fitted(), **{n: c.expr(fit.centers) for n, c in zip(names, fit.columns)}})
+    met = S.previous(known, ["tow", "season"], "est_year", ["_e", *names], checked=True)
+    rho = F.when(F.col("gap").isNull(), 0.0).otherwise(F.pow(F.lit(fit.extra["phi"]), F.col("gap")))
+    met = met.withColumn("_rho", rho)
+    white = lambda c: (F.col(c) - F.col("_rho") * F.coalesce(f"prev_{c}", F.lit(0.0))) / F.sqrt(1 - F.col("_rho") * F.col("_rho"))
+    e = white("_e")
+    sums = met.agg(*[(F.sum(white(n) * e) / F.sqrt(F.sum(white(n) * white(n)) * F.sum(e * e))).alias(n) for n in names])
+    per = F.array(*[F.struct(F.lit(c.name).alias("term"), F.col(n).alias("score")) for n, c in zip(names, fit.columns)])
+    return sums.select(F.inline(per)).withColumn("score", rnd("score"))
+
+
 # ---- mixed models ---------------------------------------------------------------------------
 
 MIXED_FIXED = [("year_c",), ("survey_area",), ("year_c", "survey_area"), ("season",), ("temp_c",)]
