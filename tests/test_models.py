@@ -174,7 +174,8 @@ def test_many_cells(spark):
     df = spark.range(n).select((F.col("id") % 600).cast("string").alias("f"), F.floor(F.col("id") / 600).cast("string").alias("g"),
                                (F.col("id") * 7 % 101).cast("double").alias("x"), (F.col("id") * 13 % 97).cast("double").alias("y"))
     cells = L.cell_moments(df, ["f", "g"], ["x", "y"])
-    centers = L.centers_of(cells, ["x", "y"])
+    _, centers, rows = L.facts_of(cells, ["f"], ["x", "y"])
+    assert rows == n
     cols = L.design([("x",)], {})
     sums = L.design_sums(cells, cols, {None: 0, "x": 1}, 3, 2, {"v": lambda i, j: L.moment(["x", "y"], centers, i, j)}).collect()
     xx, xy, yy = L.square(sums, "v", 2)
