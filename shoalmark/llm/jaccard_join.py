@@ -44,8 +44,8 @@ from .text import shingles
 
 SKETCH = 1 << 22
 _BLOCK = 1024
-GROUP = 64
-QUERIES = 256
+GROUP = 128
+QUERIES = 512
 
 
 def count_tokens(docs: DataFrame, text: str, width: int, size: int = SKETCH) -> np.ndarray:
