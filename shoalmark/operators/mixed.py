@@ -1,12 +1,14 @@
-"""Gaussian mixed models by EM-REML on aggregated cross products.
+"""Gaussian mixed models by restricted likelihood on aggregated cross products.
 
 The rows are first reduced to moments per combination of factor levels, pair products of design
 columns are formed inside those few rows and summed; at most (columns)^2 numbers reach the driver.
 
 With many random levels the largest term stays on the cluster: one row per level holds its products, each round sums what the
-levels contribute to the equations of the other columns and to the variances, and only those sums reach the driver. The
-estimates are the same either way. If several terms are large, all levels stay on the cluster and the equations are solved by
-conjugate gradients (:mod:`crossed`). The rounds are accelerated (:class:`Accelerated`), so few are needed.
+levels contribute to the equations of the other columns and to the gradient, and only those sums reach the driver. The
+estimates are the same either way: the deviance descends (:func:`descend`) over Cholesky factors of the covariances in units
+of the residual variance, in which a variance of 0 is a point like any other. If several terms are large, all levels stay on
+the cluster, the equations are solved by conjugate gradients (:mod:`crossed`), and the rounds are those of EM, accelerated
+(:class:`Accelerated`).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .linear import DesignColumn, design, fixed_part, quadratic_form
 #: Columns of the equations that the driver solves; beyond it the largest random term is eliminated on the cluster, and if
 #: that is not enough, every random level stays there.
 MAX_LEVELS = 2_000
-#: Share of the residual variance at which a variance that goes on falling is taken for 0.
+#: Share of the residual variance at which a variance that goes on falling is taken for 0, with several large terms.
 ZERO = 1e-6
 #: Numbers a task holds at a time when it works on levels.
 _CHUNK = 2_000_000
@@ -262,6 +264,111 @@ class Accelerated:
 LEVELS = "level string, u array<double>, pev array<double>, cov array<double>"
 
 
+class Deviance:
+    """Restricted deviance at given factors, profiled over the residual variance, less constants."""
+
+    def __init__(self, value: float, gradient: list[np.ndarray], slopes: list[np.ndarray], sizes: list[np.ndarray], noise: float):
+        self.value, self.noise = value, noise
+        self.gradient = lower(gradient)   # by the entries of the factors
+        self.slopes, self.sizes = slopes, sizes  # by the covariances themselves, and what they are a difference of
+
+
+def lower(mats: Sequence[np.ndarray]) -> np.ndarray:
+    """Entries of lower triangular matrices in a row."""
+    return np.concatenate([np.zeros(0), *[m[np.tril_indices(len(m))] for m in mats]])
+
+
+def triangles(flat: np.ndarray, dims: Sequence[int]) -> list[np.ndarray]:
+    out, at = [], 0
+    for d in dims:
+        m, k = np.zeros((d, d)), d * (d + 1) // 2
+        m[np.tril_indices(d)] = flat[at:at + k]
+        at += k
+        out.append(m)
+    return out
+
+
+def descend(at: Callable[[list[np.ndarray]], Deviance], dims: Sequence[int], rounds: int, tol: float) -> tuple[list[np.ndarray], int]:
+    """Factors of least deviance, by quasi-Newton steps (BFGS), and the number of rounds.
+
+    It ends when the next step promises less than ``tol`` of deviance, and takes that step. Values that differ by
+    less than their rounding are told apart by their slopes. The gradient also vanishes where a variance is 0 although the likelihood
+    rises from there; then the covariance is moved off and the descent goes on.
+    """
+    x, used, h = lower([np.eye(d) * np.sqrt(0.1) for d in dims]), 1, None
+    now = at(triangles(x, dims))
+    while used < rounds:
+        g = now.gradient
+        step = -g * min(1.0, 0.5 * max(1.0, np.linalg.norm(x)) / max(np.linalg.norm(g), 1e-300)) if h is None else -h @ g
+        slope = float(g @ step)
+        settled = -slope < tol
+        t, low, high, best = 1.0, 0.0, np.inf, None
+        while not settled and used < rounds:
+            new = at(triangles(x + t * step, dims))
+            used += 1
+            there = float(new.gradient @ step)
+            noise = max(now.noise, new.noise)
+            if new.value <= now.value + noise:
+                best = t, new
+            if new.value > now.value + 1e-4 * t * slope + noise or there > 0.9 * -slope:
+                high = t
+            elif there < 0.9 * slope:
+                low = t
+            else:
+                break
+            if high == np.inf:
+                t *= 3
+            elif high - low < 1e-6 * high or high < 1e-10:
+                break  # the values are no better than their rounding
+            else:
+                middle = t * slope / (slope - there) if there > 0 else (low + high) / 2
+                t = min(max(middle, low + 0.1 * (high - low)), low + 0.7 * (high - low))
+        if not settled and best is None:
+            if h is not None:  # a step along the gradient
+                h = None
+                continue
+            settled = -slope < 1e3 * now.noise
+            if not settled:
+                break
+            step = step * 0
+        if not settled:
+            t, new = best
+            s, dg = t * step, new.gradient - g
+            along = float(s @ dg)
+            if along > 1e-10 * np.linalg.norm(s) * np.linalg.norm(dg):
+                if h is None:
+                    h = np.eye(len(x)) * along / float(dg @ dg)
+                hg = h @ dg
+                h = h + (along + dg @ hg) / along ** 2 * np.outer(s, s) - (np.outer(hg, s) + np.outer(s, hg)) / along
+            x, now = x + s, new
+            continue
+        x = x + step
+        moved = _off_zero(triangles(x, dims), now)
+        if moved is None:
+            return triangles(x, dims), used
+        new = at(moved)
+        used += 1
+        if new.value > now.value - max(tol, now.noise):
+            return triangles(x, dims), used
+        x, now, h = lower(moved), new, None
+    raise RuntimeError(f"no convergence in {used} rounds: the gradient of the deviance is still {np.abs(now.gradient).max():.3g}")
+
+
+def _off_zero(factors: list[np.ndarray], now: Deviance) -> list[np.ndarray] | None:
+    """Factors with more variance in the direction in which the deviance falls most, if it falls in any."""
+    found = []
+    for k, (q, size) in enumerate(zip(now.slopes, now.sizes)):
+        w, v = np.linalg.eigh((q + q.T) / 2)
+        around = max(abs(float(v[:, 0] @ size @ v[:, 0])), 1e-300)
+        found.append((w[0] / around, k, around, v[:, 0]))
+    steepest, k, around, v = min(found, key=lambda x: x[0])
+    if steepest > -1e-6:
+        return None
+    more = factors[k] @ factors[k].T + 0.01 / around * np.outer(v, v)
+    more = np.linalg.cholesky(more + np.eye(len(more)) * 1e-14 * np.trace(more))
+    return [*factors[:k], more, *factors[k + 1:]]
+
+
 # ---- the term that stays on the cluster -----------------------------------------------------
 
 def _prefixes(t: RandomTerm) -> list[str]:
@@ -323,12 +430,16 @@ class AbsorbedTerm:
         self.term, self.d, self.q = term, 1 + len(term.slopes), len(order)
         self.blocks = level_blocks(prods, term, [*order, "response"])
 
-    def _solved(self, penalty: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _solved(self, factor: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, ...]]:
+        """Inverse of the levels' own equations, with variances of 0 as well, their products with the others, that
+        inverse times these, and the factors from whose product with the transposed factor the inverse comes."""
         rest = self.q + 1
 
-        def solved(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            m = np.linalg.inv(x[:, :, rest:] + penalty)
-            return m, x[:, :, :rest], m @ x[:, :, :rest]
+        def solved(x: np.ndarray) -> tuple[np.ndarray, ...]:
+            inner = factor.T @ x[:, :, rest:] @ factor + np.eye(len(factor))
+            half = factor @ np.linalg.inv(inner)
+            m = half @ factor.T
+            return m, x[:, :, :rest], m @ x[:, :, :rest], half, inner
         return solved
 
     def _sum(self, kernel: Callable[[pa.Array, np.ndarray], np.ndarray], size: int) -> np.ndarray:
@@ -338,46 +449,45 @@ class AbsorbedTerm:
             out[r.i, r.j] = r.v
         return out
 
-    def schur(self, penalty: np.ndarray) -> np.ndarray:
-        """What the levels take from the equations of the other columns (the response last)."""
-        solved = self._solved(penalty)
-
-        def kernel(_, x):
-            _, b, mb = solved(x)
-            return b.reshape(-1, b.shape[2]).T @ mb.reshape(-1, b.shape[2])
-        return self._sum(kernel, self.q + 1)
-
-    def moments(self, penalty: np.ndarray, sol: np.ndarray, inv: np.ndarray, s2: float) -> tuple[np.ndarray, float]:
-        """Mean over levels of the expected squares of the effects, and their share in the sum of squares."""
-        solved, d, q = self._solved(penalty), self.d, self.q
+    def schur(self, factor: np.ndarray) -> tuple[np.ndarray, float]:
+        """What the levels take from the equations of the other columns (the response last), and the log determinant of their own."""
+        solved = self._solved(factor)
 
         def kernel(_, x):
-            m, b, mb = solved(x)
-            u = mb[:, :, q] - mb[:, :, :q] @ sol
-            out = np.zeros((d + 1, d + 1))
-            spread = m + (mb[:, :, :q] @ inv) @ mb[:, :, :q].transpose(0, 2, 1)
-            out[:d, :d] = u.T @ u + s2 * spread.sum(axis=0)
-            out[d, d], out[0, d] = (u * b[:, :, q]).sum(), len(u)
+            _, b, mb, _, inner = solved(x)
+            out = np.zeros((b.shape[2] + 1,) * 2)
+            out[:-1, :-1] = b.reshape(-1, b.shape[2]).T @ mb.reshape(-1, b.shape[2])
+            out[-1, -1] = np.linalg.slogdet(inner)[1].sum()
             return out
-        out = self._sum(kernel, d + 1)
-        return out[:d, :d] / out[0, d], float(out[d, d])
+        out = self._sum(kernel, self.q + 2)
+        return out[:-1, :-1], float(out[-1, -1])
 
-    def logdet(self, penalty: np.ndarray) -> float:
-        """Log determinant of the levels' own equations."""
-        rest, d = self.q + 1, self.d
+    def slopes(self, factor: np.ndarray, sol: np.ndarray, inv: np.ndarray, weight: float) -> tuple[np.ndarray, ...]:
+        """Slope of the deviance by the factor (half of it) and by the covariance, and the first part of the latter."""
+        solved, d, q = self._solved(factor), self.d, self.q
 
         def kernel(_, x):
-            out = np.zeros((1, 1))
-            out[0, 0] = np.linalg.slogdet(x[:, :, rest:rest + d] + penalty)[1].sum()
+            m, b, _, half, _ = solved(x)
+            own = x[:, :, q + 1:]
+            left = own @ m - np.eye(d)
+            rest = b[:, :, q] - b[:, :, :q] @ sol
+            e = -(left @ rest[:, :, None])[:, :, 0]
+            s = (half.transpose(0, 2, 1) @ rest[:, :, None])[:, :, 0]
+            around = left @ ((b[:, :, :q] @ inv) @ b[:, :, :q].transpose(0, 2, 1))
+            size = (-left @ own - around @ left.transpose(0, 2, 1)).sum(axis=0)
+            out = np.zeros((2 * d, 2 * d))
+            out[:d, :d] = (own @ half + around @ half).sum(axis=0) - weight * (e.T @ s)
+            out[:d, d:], out[d:, :d] = size - weight * (e.T @ e), size
             return out
-        return float(self._sum(kernel, 1)[0, 0])
+        out = self._sum(kernel, 2 * d)
+        return out[:d, :d], out[:d, d:], out[d:, :d]
 
-    def effects(self, penalty: np.ndarray, sol: np.ndarray, inv: np.ndarray, p: int) -> DataFrame:
+    def effects(self, factor: np.ndarray, sol: np.ndarray, inv: np.ndarray, p: int) -> DataFrame:
         """Effects of each level, their error covariance, and that with the first p columns."""
-        solved, q = self._solved(penalty), self.q
+        solved, q = self._solved(factor), self.q
 
         def kernel(levels, x):
-            m, _, mb = solved(x)
+            m, _, mb, *_ = solved(x)
             u = mb[:, :, q] - mb[:, :, :q] @ sol
             pev = m + (mb[:, :, :q] @ inv) @ mb[:, :, :q].transpose(0, 2, 1)
             cov = -(mb[:, :, :q] @ inv[:, :p])
@@ -423,56 +533,77 @@ class DriverSystem:
     def _small(self) -> list[int]:
         return [k for k in range(len(self.random)) if k != self.big]
 
-    def round(self, s2: float, mats: list[np.ndarray], last: bool = False) -> Round:
-        lhs, right, logdet = self.c0.copy(), self.rhs, 0.0
+    def _times(self, rows: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
+        """Rows over the columns of the equations, times the factors of the levels."""
+        out = rows.copy()
         for k, blocks in zip(self._small(), self.spans):
-            pen = s2 * np.linalg.inv(mats[k])
-            for b in blocks:
-                lhs[np.ix_(b, b)] += pen
+            at = np.array(blocks)
+            out[..., at] = rows[..., at] @ factors[k]
+        return out
+
+    def _solve(self, factors: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Solve the equations for effects in units of their factors."""
+        lhs, right, yy, logdet = self.c0, self.rhs, self.yy, 0.0
         if self.absorbed:
-            penalty = s2 * np.linalg.inv(mats[self.big])
-            taken = self.absorbed.schur(penalty)
-            lhs, right = lhs - taken[:-1, :-1], self.rhs - taken[:-1, -1]
-            logdet = self.absorbed.logdet(penalty) if last else 0.0
-        inv = np.linalg.inv(lhs)
-        sol = inv @ right
-        explained = float(sol @ self.rhs)
-        second: list[np.ndarray | None] = [None] * len(self.random)
+            taken, logdet = self.absorbed.schur(factors[self.big])
+            lhs, right, yy = lhs - taken[:-1, :-1], right - taken[:-1, -1], yy - taken[-1, -1]
+        half = self._times(lhs, factors)
+        inner = self._times(half.T, factors).T
+        inner = (inner + inner.T) / 2 + np.diag(np.arange(len(lhs)) >= self.p)
+        r, inv = self._times(right, factors), np.linalg.inv(inner)
+        s = inv @ r
+        s = s + inv @ (r - inner @ s)
+        # of second order in the error of the solution
+        rss = max(float(yy - 2 * (s @ r) + s @ inner @ s), 1e-15 * self.yy, 1e-300)
+        return lhs, right, half, inv, s, rss, logdet + float(np.linalg.slogdet(inner)[1])
+
+    def _effects(self, inv: np.ndarray, s: np.ndarray, factors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        turned = [f.T for f in factors]
+        return self._times(self._times(inv, turned).T, turned).T, self._times(s, turned)
+
+    def deviance(self, factors: list[np.ndarray]) -> Deviance:
+        lhs, right, half, inv, s, rss, logdet = self._solve(factors)
+        free = self.n - self.p
+        weight, (whole, sol) = free / rss, self._effects(inv, s, factors)
+        e, around, across = right - lhs @ sol, half @ inv, lhs @ whole
+        gradient: list[np.ndarray | None] = [None] * len(self.random)
+        slopes, sizes = list(gradient), list(gradient)
         for k, blocks in zip(self._small(), self.spans):
-            acc = sum(np.outer(sol[b], sol[b]) + inv[np.ix_(b, b)] * s2 for b in blocks)
-            second[k] = acc / len(blocks)
+            gradient[k] = 2 * sum(around[np.ix_(b, b)] - weight * np.outer(e[b], s[b]) for b in blocks)
+            sizes[k] = sum(lhs[np.ix_(b, b)] - across[b] @ lhs[:, b] for b in blocks)
+            slopes[k] = sizes[k] - weight * sum(np.outer(e[b], e[b]) for b in blocks)
         if self.absorbed:
-            second[self.big], share = self.absorbed.moments(penalty, sol, inv, s2)
-            explained += share
-        if last:
-            logdet += float(np.linalg.slogdet(lhs)[1])
-            self.solution = (inv, sol, penalty if self.absorbed else None)
-        return Round(sol[:self.p], inv[:self.p, :self.p], second, explained, logdet)
+            by_factor, slopes[self.big], sizes[self.big] = self.absorbed.slopes(factors[self.big], sol, whole, weight)
+            gradient[self.big] = 2 * by_factor
+        value = logdet + free * np.log(rss)
+        noise = 1e-14 * abs(value) + 1e-14 * weight * self.yy  # of the value, by rounding of the sums it is made of
+        return Deviance(value, gradient, slopes, sizes, noise)
+
+    def solved(self, factors: list[np.ndarray]) -> tuple[Round, float]:
+        """The solution at the estimates, and the residual variance."""
+        _, _, _, inv, s, rss, logdet = self._solve(factors)
+        whole, sol = self._effects(inv, s, factors)
+        self.solution = (whole, sol, factors[self.big] if self.absorbed else None)
+        return Round(sol[:self.p], whole[:self.p, :self.p], [], self.yy - rss, logdet), rss / (self.n - self.p)
 
     def levels(self, spark: SparkSession) -> dict[str, DataFrame]:
-        inv, sol, penalty = self.solution
+        inv, sol, factor = self.solution
         out = {}
         for k, keys, blocks in zip(self._small(), self.keys, self.spans):
             rows = [(key, sol[b].tolist(), inv[np.ix_(b, b)].ravel().tolist(), inv[b, :self.p].ravel().tolist())
                     for key, b in zip(keys, blocks)]  # at most MAX_LEVELS rows
             out[self.random[k].group] = spark.createDataFrame(rows, LEVELS)
         if self.absorbed:
-            out[self.random[self.big].group] = self.absorbed.effects(penalty, sol, inv, self.p)
+            out[self.random[self.big].group] = self.absorbed.effects(factor, sol, inv, self.p)
         return out
 
-    def n_effects(self) -> list[int]:
-        counts = [0] * len(self.random)
-        for k, blocks in zip(self._small(), self.spans):
-            counts[k] = len(blocks)
-        if self.absorbed:
-            counts[self.big] = self.absorbed.blocks.count()
-        return counts
-
 
 def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
               random: Sequence[RandomTerm], levels: dict[str, list] | None = None,
               max_iter: int = 500, tol: float = 1e-9, max_levels: int | None = None, probes: int = 16) -> MixedFit:
-    """REML by accelerated EM. ``levels`` gives the sorted levels of the fixed factors; a row with another level is an error.
+    """REML. ``levels`` gives the sorted levels of the fixed factors; a row with another level is an error.
+
+    ``tol`` is the deviance that another step may still promise; with several large terms, the share by which a variance may still move.
 
     Crossed random terms may have any number of levels: up to ``max_levels`` columns are solved on the driver; beyond that the
     largest term is eliminated on the cluster, and if the others are still too many, the equations of all levels are
@@ -490,9 +621,30 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     sizes = diagonal.agg(*[F.count(_part(F.col("i"), t)).alias(f"_{k}") for k, t in enumerate(random)]).first() if random else []
     big = max(range(len(random)), key=lambda k: sizes[k]) if sum(sizes) > limit else None
     crossed = big is not None and sum(sizes) - sizes[big] > limit
-    system = CrossedSystem(prods, fixed, random, probes) if crossed else DriverSystem(prods, fixed, random, big)
-    p, n, yy = len(fixed), system.n, system.yy
     dims = [1 + len(t.slopes) for t in random]
+    if crossed:
+        system = CrossedSystem(prods, fixed, random, probes)
+        s2, mats, last, it = _accelerated(system, dims, max_iter, tol)
+        counts = system.n_effects()
+        effects = sum(c * d for c, d in zip(counts, dims))
+        inside = sum(c * np.linalg.slogdet(g)[1] for c, g in zip(counts, mats)) + last.logdet - effects * np.log(s2)
+    else:
+        system = DriverSystem(prods, fixed, random, big)
+        factors, it = descend(system.deviance, dims, max_iter, tol) if random else ([], 1)
+        last, s2 = system.solved(factors)
+        mats, inside = [s2 * f @ f.T for f in factors], last.logdet
+    # the log determinant of the covariance of the response is that of the equations
+    p, n = len(fixed), system.n
+    misfit = (system.yy - last.explained) / s2
+    ml = n * np.log(2 * np.pi) + n * np.log(s2) + inside + np.linalg.slogdet(last.inverse)[1] + misfit
+    reml = (n - p) * np.log(2 * np.pi) + (n - p) * np.log(s2) + inside + misfit
+    return MixedFit(response, fixed, last.beta, last.inverse * s2, {t.group: g for t, g in zip(random, mats)}, s2, tuple(random),
+                    it, n, float(ml), float(reml), last.logdet_error, system.levels(df.sparkSession))
+
+
+def _accelerated(system: "CrossedSystem", dims: Sequence[int], max_iter: int, tol: float) -> tuple[float, list[np.ndarray], Round, int]:  # noqa: F821
+    """Rounds of EM until the variances rest, and the solution there."""
+    p, n, yy = system.p, system.n, system.yy
     s2 = max(yy / n, 1e-12)
     mats = [np.eye(d) * s2 / 10 for d in dims]
     mixing, move = Accelerated(), 1.0
@@ -506,7 +658,7 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
                for g, b, hold in zip(mats, now.second, still)]
         # a variance near 0 has settled when it moves little beside the residual one
         move = max([abs(new_s2 / s2 - 1)] + [np.abs(a - b).max() / max(s2, np.abs(b).max()) for a, b in zip(new, mats)])
-        if move < tol or not random:
+        if move < tol:
             s2, mats = new_s2, new
             break
         held = np.concatenate([[False], *[np.full(d * (d + 1) // 2, hold) for d, hold in zip(dims, still)]])
@@ -516,12 +668,4 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
         raise RuntimeError(f"no convergence in {max_iter} rounds: the last step moved a variance by a share of {move:.3g}")
     system.precision = 1e-8
     last = system.round(s2, mats, last=True)
-    # log determinants of the covariance of the response, by those of the equations
-    counts = system.n_effects()
-    effects = sum(c * d for c, d in zip(counts, dims))
-    inside = sum(c * np.linalg.slogdet(g)[1] for c, g in zip(counts, mats)) + last.logdet
-    misfit = (yy - last.explained) / s2
-    ml = n * np.log(2 * np.pi) + (n - effects) * np.log(s2) + inside + np.linalg.slogdet(last.inverse)[1] + misfit
-    reml = (n - p) * np.log(2 * np.pi) + (n - p - effects) * np.log(s2) + inside + misfit
-    return MixedFit(response, fixed, last.beta, last.inverse * s2, {t.group: g for t, g in zip(random, mats)}, s2, tuple(random),
-                    it, n, float(ml), float(reml), last.logdet_error, system.levels(df.sparkSession))
+    return s2, mats, last, it
