@@ -35,3 +35,11 @@ def test_field_far_above_its_residual(spark):
     assert got == {k: pytest.approx(v, rel=1e-6) for k, v in variances.items()}
     for r in fit.effects().collect():
         assert r.cell_effect == pytest.approx(u[r.cell], abs=1e-6) and r.time_effect == pytest.approx(w[r.cell, r.yr], abs=1e-6)
+
+
+def test_predictions_far_above_the_residual(spark):
+    df, _, u, w, season = _panel(spark)
+    grid = spark.createDataFrame([(c, t, s, 0.0) for c in (3, 99) for t in (2, 50) for s in "FS"], df.schema)
+    for r in _fit(df).predict(grid).collect():
+        want = season["FS".index(r.season)] + (u[3] if r.cell == 3 else 0) + (w[3, 2] if (r.cell, r.yr) == (3, 2) else 0)
+        assert r.est == pytest.approx(want, abs=1e-6)
