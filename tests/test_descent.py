@@ -86,3 +86,10 @@ def test_variances_near_zero(spark, seed):
     rows, fit = _weak(spark, seed, False)
     _is_least(rows, fit, False)
     assert fit.iterations < 100
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slopes_near_zero(spark, seed):
+    rows, fit = _weak(spark, seed, True)
+    _is_least(rows, fit, True)
+    assert fit.iterations < 200
