@@ -14,7 +14,9 @@ result is one row per document with the size of its set and the smallest doc_id
    members; each group stores the union of its members' matrix tokens and the range of their sizes. A query, that is a member outside the
    bucket's largest component, meets a group with its own tokens: the overlap with the union bounds the
    overlap with every member, and only groups that can still reach the threshold are opened and their members bounded one by one.
-5. Pairs that pass are verified on their whole sets, taken again from the texts.
+5. Each set has a signature of ``BITS`` bits, a bit being the parity of its tokens that fall there. Two signatures differ in at
+   most as many bits as the sets differ in tokens, so most pairs of step 4 that do not link go without their sets.
+6. Pairs that pass are verified on their whole sets, taken again from the texts.
 
 A pair within one component is not compared any further, as it cannot change the result; every other linked pair is found.
 Hot tokens need no cap: large groups of near copies become one component in step 3 by a linear number of rows, joins are
@@ -46,6 +48,7 @@ SKETCH = 1 << 22
 _BLOCK = 1024
 GROUP = 128
 QUERIES = 512
+BITS = 1024
 
 
 def count_tokens(docs: DataFrame, text: str, width: int, size: int = SKETCH) -> np.ndarray:
@@ -99,14 +102,20 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Parity of the tokens of a set by the high bits of their hash, as 64-bit numbers."""
+    at = np.bincount((s // np.uint64((1 << 64) // BITS)).astype(np.int64), minlength=BITS)
+    return np.packbits((at & 1).astype(np.uint8)).view(np.int64)
+
+
 def token_sets(docs: DataFrame, text: str, width: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, size of the set, 128-bit fingerprint and first tokens in the global order."""
+    """doc_id, size of the set, 128-bit fingerprint, first tokens in the global order and signature."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # SKETCH counters
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, low = shared.value, np.uint64(len(shared.value) - 1)
         for batch in batches:
-            sizes, firsts, marks = [], [], []
+            sizes, firsts, marks, signs = [], [], [], []
             for s in shingles(batch.column(1), width):
                 p = prefix_length(len(s), num, den)
                 own = rank[(s & low).astype(np.int64)]
@@ -117,16 +126,19 @@ def token_sets(docs: DataFrame, text: str, width: int, num: int, den: int, count
                 sizes.append(len(s))
                 firsts.append(s_first.view(np.int64))
                 marks.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
+                signs.append(signature(s))
             if not sizes:
                 continue
             marks = np.array(marks)
             offsets = np.append(0, np.cumsum([len(f) for f in firsts])).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts)))
+            every = np.arange(len(signs) + 1, dtype=np.int32) * (BITS // 64)
+            sign = pa.ListArray.from_arrays(pa.array(every), pa.array(np.concatenate(signs)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(marks[:, 0]),
-                                              pa.array(marks[:, 1]), tokens], names=["doc_id", "n", "f1", "f2", "first"])
+                                              pa.array(marks[:, 1]), tokens, sign], names=["doc_id", "n", "f1", "f2", "first", "sign"])
 
     return (docs.select(F.col("doc_id").cast("long"), text)
-            .mapInArrow(one, "doc_id long, n long, f1 long, f2 long, first array<long>"))
+            .mapInArrow(one, "doc_id long, n long, f1 long, f2 long, first array<long>, sign array<long>"))
 
 
 def whole_sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -181,6 +193,16 @@ def _first_check(pairs: DataFrame, firsts: DataFrame, num: int, den: int) -> Dat
             .select("a", "b").distinct())
 
 
+def _sign_check(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """Drop pairs (a, b) whose signatures (rep, n, sign) differ in more bits than linked sets differ in tokens."""
+    both = (pairs.join(signs.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa")), "a")
+            .join(signs.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb")), "b"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    na, nb = F.col("na"), F.col("nb")
+    return (both.where(_sizes_fit(na, nb, num, den) & (apart <= na + nb - 2 * _needed(na, nb, num, den)))
+            .select("a", "b").distinct())
+
+
 def _group_candidates(members: DataFrame, num: int, den: int, group: int = GROUP, queries: int = QUERIES) -> DataFrame:
     """Pairs between components of a bucket that the token-group matrix cannot rule out.
 
@@ -253,7 +275,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     of_doc = named.select(*key, "f1", "f2").join(reps, ["f1", "f2"]).groupBy(*key).agg(F.min("rep").alias("rep"))
     hits = written(hits.join(of_doc, key).select("token", "rep", "n").distinct(), "matrix")
     firsts = written(filled.withColumnRenamed("doc_id", "rep").join(hits.select("rep", "n").distinct(), ["rep", "n"])
-                     .dropDuplicates(["rep", "n", "f1", "f2"]).select("rep", "n", "first"), "first-tokens")
+                     .dropDuplicates(["rep", "n", "f1", "f2"]).select("rep", "n", "first", "sign"), "first-tokens")
 
     # every member of a bucket against its first and its last representative
     ends = (hits.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"))
@@ -290,7 +312,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         (F.sum("_k") - F.max("_k")).alias("n_queries"))
     members = (left.join(main, "token").join(firsts.select("rep", "n", "first"), ["rep", "n"])
                .withColumnRenamed("token", "bucket"))
-    more = _verified(_group_candidates(members, num, den), docs, text, width, num, den)
+    candidates = written(_group_candidates(members, num, den), "candidates")
+    more = _verified(_sign_check(candidates, firsts, num, den), docs, text, width, num, den)
     edges = written(edges.union(more), "links")
     found = components(edges)
 

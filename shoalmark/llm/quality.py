@@ -39,7 +39,7 @@ LONGEST = 200_000
 STATISTICS = 14
 SIZES = 24
 FEATURES = WORD_BUCKETS + STATISTICS + SIZES
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
 _LETTER, _UPPER, _DIGIT, _SPACE, _STOP, _MARK, _SYMBOL = range(7)
 
 

@@ -75,7 +75,7 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes, np.searchsorted(start, bounds)
 
 
-def shingles(column: pa.Array, width: int, block: int = 1 << 20) -> Iterable[np.ndarray]:
+def shingles(column: pa.Array, width: int, block: int = 1 << 18) -> Iterable[np.ndarray]:
     """For each value the sorted distinct 64-bit hashes of its ``width``-word shingles.
 
     A value with fewer words has its whole word sequence as its one shingle; without words the set is empty.
