@@ -70,7 +70,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_small_batches
 def groups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_per_group(docs, width=5, num=8, den=10)
+    return jaccard_join.one_per_group(docs, width=5, num=8, den=10, sizes=(256, 1024))
 
 
 @_small_batches

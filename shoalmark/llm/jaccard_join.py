@@ -244,14 +244,15 @@ def _group_candidates(members: DataFrame, num: int, den: int, group: int = GROUP
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, text: str = "text",
-                       sketch: int = SKETCH) -> DataFrame:
+                       sketch: int = SKETCH, sizes: tuple[int, ...] = ()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; links are shingle sets with Jaccard of num / den or more.
 
+    ``sizes``: members and queries of a group in step 4, if not ``GROUP`` and ``QUERIES``; larger ones move fewer copies of rows.
     Ids that are not whole numbers are numbered in their order and come back at the end."""
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         codes = written(with_row_id(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), ["doc_id"], "code"), "codes")
         coded = docs.select("doc_id", text).join(codes, "doc_id", "left").select(F.col("code").alias("doc_id"), text)
-        found = jaccard_components(coded, width, num, den, text, sketch)
+        found = jaccard_components(coded, width, num, den, text, sketch, sizes)
         own, of = (codes.select(F.col("doc_id").alias(n), F.col("code").alias(f"_{n}")) for n in ("doc_id", "component_id"))
         return (found.withColumnsRenamed({"doc_id": "_doc_id", "component_id": "_component_id"}).join(own, "_doc_id", "left")
                 .join(of, "_component_id", "left").select("doc_id", "n_shingles", "component_id"))
@@ -312,7 +313,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         (F.sum("_k") - F.max("_k")).alias("n_queries"))
     members = (left.join(main, "token").join(firsts.select("rep", "n", "first"), ["rep", "n"])
                .withColumnRenamed("token", "bucket"))
-    candidates = written(_group_candidates(members, num, den), "candidates")
+    candidates = written(_group_candidates(members, num, den, *sizes), "candidates")
     more = _verified(_sign_check(candidates, firsts, num, den), docs, text, width, num, den)
     edges = written(edges.union(more), "links")
     found = components(edges)
@@ -322,7 +323,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def one_per_group(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+def one_per_group(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, sizes: tuple[int, ...] = ()) -> DataFrame:
     """One document of each group of linked ones: the one with the smallest doc_id.
 
     Where ids repeat or lack, every row is a document of its own: rows are numbered by doc_id (null last) and text, and the
@@ -330,12 +331,12 @@ def one_per_group(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
     """
     size = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     if size.n == size.ids:
-        found = written(jaccard_components(docs, width, num, den), "groups")
+        found = written(jaccard_components(docs, width, num, den, sizes=sizes), "groups")
         later = found.where("doc_id <> component_id").select("doc_id").distinct()
         return by_ids(docs, later, "doc_id", "left_anti").select(*docs.columns)
     row = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     numbered = written(with_row_id(docs.select(row, F.col("doc_id").alias("_id"), "text"), [F.col("_id").asc_nulls_last(), "text"], "_no"), "numbered")
-    found = written(jaccard_components(numbered.select(F.col("_no").alias("doc_id"), "text"), width, num, den), "groups")
+    found = written(jaccard_components(numbered.select(F.col("_no").alias("doc_id"), "text"), width, num, den, sizes=sizes), "groups")
     later = found.where("doc_id <> component_id").select("doc_id")
     return by_ids(numbered, later, "_no", "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
