@@ -103,6 +103,8 @@ class MixedFit:
     #: group -> levels with effects ``u``, prediction-error covariance ``pev`` and covariance with the fixed coefficients
     #: ``cov`` (both as rows, in units of the residual variance); null where they are not known
     levels: dict[str, DataFrame]
+    #: the term that was eliminated on the cluster, if one was
+    absorbed: AbsorbedTerm | None = None
 
     @property
     def fixed(self) -> dict[str, tuple[float, float]]:
@@ -639,7 +641,8 @@ def fit_mixed(df: DataFrame, response: str, terms: Sequence[tuple[str, ...]],
     ml = n * np.log(2 * np.pi) + n * np.log(s2) + inside + np.linalg.slogdet(last.inverse)[1] + misfit
     reml = (n - p) * np.log(2 * np.pi) + (n - p) * np.log(s2) + inside + misfit
     return MixedFit(response, fixed, last.beta, last.inverse * s2, {t.group: g for t, g in zip(random, mats)}, s2, tuple(random),
-                    it, n, float(ml), float(reml), last.logdet_error, system.levels(df.sparkSession))
+                    it, n, float(ml), float(reml), last.logdet_error, system.levels(df.sparkSession),
+                    None if crossed else system.absorbed)
 
 
 def _accelerated(system: "CrossedSystem", dims: Sequence[int], max_iter: int, tol: float) -> tuple[float, list[np.ndarray], Round, int]:  # noqa: F821
